@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased runs of two or more letters, digits or underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_\p{L}\p{N}]{2,}"), 0)
 
 
 def alpha_tokens(text: Column) -> Column:

@@ -33,8 +33,12 @@ HEADER_PATTERNS = [
 
 _MASK = OUTCOME_MASK
 _TERMS = "|".join(OUTCOME_TERMS)
-_CONTEXT = rf"(?iU)((?:{'|'.join(OUTCOME_TRIGGERS)})\s+)(?:{_TERMS})"
-_CAPS = rf"(?U)\b(?:{_TERMS.upper()})\b"
+# Written from the blank between trigger and term: few characters are blanks,
+# so the alternatives are tried rarely. No outcome term ends in the beginning
+# of a trigger, hence no earlier match can take part of a later trigger away.
+_CONTEXT = rf"(?iU)(?=\s+(?:{_TERMS}))(?<={'|'.join(OUTCOME_TRIGGERS)})(\s+)(?:{_TERMS})"
+_INITIALS = "".join(sorted({t[0].upper() for t in OUTCOME_TERMS}))
+_CAPS = rf"(?U)(?=[{_INITIALS}])\b(?:{_TERMS.upper()})\b"
 
 
 def decode_utf8(content: Column) -> Column:
@@ -45,7 +49,7 @@ def decode_utf8(content: Column) -> Column:
 
 
 def strip_header_lines(text: Column) -> Column:
-    """Replace each kind of boilerplate by a space."""
+    """Replace each kind of boilerplate by a space, in order."""
     return reduce(lambda t, p: F.regexp_replace(t, p, " "), HEADER_PATTERNS, text)
 
 
@@ -88,7 +92,8 @@ def tokens(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of white-space tokens, counted without building them."""
-    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
+    # Printable ASCII is listed first, which settles most characters at once.
+    return F.regexp_count(text, F.lit(r"(?U)[!-~[^\s\x1c-\x1f]]++"))
 
 
 def exceeds_limit(count: Column, limit: int = TOKEN_LIMIT) -> Column:
@@ -102,7 +107,7 @@ def outcome_mask_count(text: Column) -> Column:
 def analysis_text(text: Column) -> Column:
     """Cleaned text without masks and free-standing numbers, on one line."""
     unmasked = F.replace(text, F.lit(_MASK), F.lit(""))
-    words = F.regexp_replace(unmasked, r"(?U)\b\d+\b", " ")
+    words = F.regexp_replace(unmasked, r"(?U)(?=\d)\b\d+\b", " ")
     return trim_space(F.regexp_replace(words, rf"(?U){_SPACE}+", " "))
 
 

@@ -67,19 +67,19 @@ NOISE_DOMAIN_TERMS = [
     "antitrust", "sherman act",
 ]
 
-# Court name -> expression over the original text, any case; the first match wins.
+# Court name -> phrases, any case; the first court with a phrase in the text wins.
 COURTS = {
-    "SDNY": r"S\.D\. New York|Southern District of New York",
-    "CD Cal": r"C\.D\. California|Central District of California",
-    "ND Cal": r"N\.D\. California|Northern District of California",
-    "ND Tex": r"N\.D\. Texas",
-    "SD Tex": r"S\.D\. Texas",
-    "9th Cir": r"Ninth Circuit",
-    "2nd Cir": r"Second Circuit",
-    "5th Cir": r"Fifth Circuit",
-    "DC Cir": r"District of Columbia Circuit|D\.C\. Circuit",
-    "Del Ch": r"Delaware Court of Chancery|Del\. Ch\.",
-    "SCOTUS": r"Supreme Court of the United States",
+    "SDNY": ["S.D. New York", "Southern District of New York"],
+    "CD Cal": ["C.D. California", "Central District of California"],
+    "ND Cal": ["N.D. California", "Northern District of California"],
+    "ND Tex": ["N.D. Texas"],
+    "SD Tex": ["S.D. Texas"],
+    "9th Cir": ["Ninth Circuit"],
+    "2nd Cir": ["Second Circuit"],
+    "5th Cir": ["Fifth Circuit"],
+    "DC Cir": ["District of Columbia Circuit", "D.C. Circuit"],
+    "Del Ch": ["Delaware Court of Chancery", "Del. Ch."],
+    "SCOTUS": ["Supreme Court of the United States"],
 }
 
 OUTCOME_TERMS = [

@@ -9,7 +9,7 @@ from casewright import lexicons as lx
 from casewright.functions import labels as lb
 from casewright.functions import lexicon as lc
 from casewright.functions import text as tx
-from casewright.functions.rows import struct_rows
+from casewright.functions.rows import computed_once, struct_rows
 
 
 def case_key(filename: Column) -> Column:
@@ -72,37 +72,34 @@ def dedup_status_union(tagged: DataFrame, kept: str, quarantined: str) -> DataFr
 
 def signal_scores(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add all seven lexicon scores. The text is lower-cased once."""
-    low = F.col("_low")
-    return (
-        docs.withColumn("_low", F.lower(text))
-        .withColumns(
-            {
-                "noise_terms": lc.lexicon_hits(low, lx.NOISE_TERMS),
-                "esg_hits": lc.lexicon_hits(low, lx.ESG_SIGNAL_TERMS),
-                "pillar_E": lc.lexicon_hits(low, lx.PILLAR_E_TERMS),
-                "pillar_S": lc.lexicon_hits(low, lx.PILLAR_S_TERMS),
-                "pillar_G": lc.lexicon_hits(low, lx.PILLAR_G_TERMS),
-                "pillar_Sus": lc.lexicon_hits(low, lx.SUSTAINABILITY_TERMS),
-                "noise_hits": lc.lexicon_hits(low, lx.NOISE_DOMAIN_TERMS),
-            }
-        )
-        .drop("_low")
+    low = "_low"
+    scored = computed_once(
+        docs.withColumn("_low", F.lower(text)),
+        {
+            "noise_terms": lc.lexicon_hits(low, lx.NOISE_TERMS),
+            "esg_hits": lc.lexicon_hits(low, lx.ESG_SIGNAL_TERMS),
+            "pillar_E": lc.lexicon_hits(low, lx.PILLAR_E_TERMS),
+            "pillar_S": lc.lexicon_hits(low, lx.PILLAR_S_TERMS),
+            "pillar_G": lc.lexicon_hits(low, lx.PILLAR_G_TERMS),
+            "pillar_Sus": lc.lexicon_hits(low, lx.SUSTAINABILITY_TERMS),
+            "noise_hits": lc.lexicon_hits(low, lx.NOISE_DOMAIN_TERMS),
+        },
     )
+    return scored.drop("_low")
 
 
 def noise_filter(docs: DataFrame, text: str = "text", override: int = lx.NOISE_OVERRIDE) -> DataFrame:
     """Add ``noise_hits``, ``esg_hits`` and ``decision``."""
-    low = F.col("_low")
-    return (
-        docs.withColumn("_low", F.lower(text))
-        .withColumns(
-            {
-                "noise_hits": lc.lexicon_hits(low, lx.NOISE_TERMS),
-                "esg_hits": lc.lexicon_hits(low, lx.ESG_SIGNAL_TERMS),
-            }
-        )
-        .drop("_low")
-        .withColumn("decision", lb.noise_decision(F.col("noise_hits"), F.col("esg_hits"), override))
+    low = "_low"
+    scored = computed_once(
+        docs.withColumn("_low", F.lower(text)),
+        {
+            "noise_hits": lc.lexicon_hits(low, lx.NOISE_TERMS),
+            "esg_hits": lc.lexicon_hits(low, lx.ESG_SIGNAL_TERMS),
+        },
+    ).drop("_low")
+    return scored.withColumn(
+        "decision", lb.noise_decision(F.col("noise_hits"), F.col("esg_hits"), override)
     )
 
 
@@ -115,19 +112,23 @@ def filter_counts(log: DataFrame) -> DataFrame:
 
 def pillar_metadata(docs: DataFrame, text: str = "text", size: str = "size_bytes") -> DataFrame:
     """Scores, year, court and flags of each document; the text is dropped."""
-    low, body = F.col("_low"), F.col(text)
-    scored = docs.withColumn("_low", F.lower(text)).select(
-        "filename",
-        size,
-        lc.extract_year(body).alias("year"),
-        lc.detect_court(body).alias("court"),
-        lc.lexicon_hits(low, lx.PILLAR_E_TERMS).alias("pillar_E"),
-        lc.lexicon_hits(low, lx.PILLAR_S_TERMS).alias("pillar_S"),
-        lc.lexicon_hits(low, lx.PILLAR_G_TERMS).alias("pillar_G"),
-        lc.lexicon_hits(low, lx.SUSTAINABILITY_TERMS).alias("pillar_Sus"),
-        lc.lexicon_hits(low, lx.NOISE_DOMAIN_TERMS).alias("noise_hits"),
-        lc.flag_greenwash(body).alias("is_greenwash"),
+    low, folded = "_low", F.col("_folded")
+    lowered = docs.select(
+        "filename", size, text, F.lower(text).alias("_low"), lc.fold_case(F.col(text)).alias("_folded")
     )
+    scored = computed_once(
+        lowered,
+        {
+            "year": lc.extract_year(F.col(text)),
+            "court": lc.detect_court(folded),
+            "pillar_E": lc.lexicon_hits(low, lx.PILLAR_E_TERMS),
+            "pillar_S": lc.lexicon_hits(low, lx.PILLAR_S_TERMS),
+            "pillar_G": lc.lexicon_hits(low, lx.PILLAR_G_TERMS),
+            "pillar_Sus": lc.lexicon_hits(low, lx.SUSTAINABILITY_TERMS),
+            "noise_hits": lc.lexicon_hits(low, lx.NOISE_DOMAIN_TERMS),
+            "is_greenwash": lc.flag_greenwash(folded),
+        },
+    ).drop(text, "_low", "_folded")
     e, s, g = F.col("pillar_E"), F.col("pillar_S"), F.col("pillar_G")
     return scored.withColumns(
         {
@@ -156,7 +157,7 @@ def label_table(metadata: DataFrame) -> DataFrame:
 def cleaned_table(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """Cleaned and masked text with token counts, labels looked up by file name."""
     cleaned = docs.select("filename", tx.clean_text(F.col(text)).alias("cleaned_text"))
-    counted = cleaned.withColumn("token_count", tx.token_count(F.col("cleaned_text")))
+    counted = computed_once(cleaned, {"token_count": tx.token_count(F.col("cleaned_text"))})
     flags = labels.select("filename", "label", "is_sustainability", "is_greenwash")
     return counted.join(flags, "filename", "left").select(
         "filename",
@@ -175,7 +176,7 @@ def lexicon_matches(docs: DataFrame, lexicons: dict[str, list[str]], text: str =
     Every entry is a constant, so the match is a projection followed by an
     explode; documents and entries need no join.
     """
-    low = F.col("_low")
+    low = "_low"
     found = struct_rows(
         ["lexicon", "terms"],
         *[[F.lit(name), lc.matched_terms(low, terms)] for name, terms in lexicons.items()],

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,19 +116,39 @@ def boosted_trees(train: DataFrame, rounds: int = 500, rate: float = 0.05, depth
     """One boosted model per class against the rest."""
     base = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
     return OneVsRest(
-        classifier=base, featuresCol="features", labelCol="label_index", weightCol="weight"
+        classifier=base,
+        featuresCol="features",
+        labelCol="label_index",
+        weightCol="weight",
+        parallelism=len(lx.CLASSES),
     ).fit(train)
 
 
-def embedding_svm(train: DataFrame, max_iter: int = 50, reg: float = 0.01):
+def embedding_svm(train: DataFrame, max_iter: int = 50, reg: float = 0.01, parallelism: int = 8):
     """Linear support vector machines, one per class, as a probe of embeddings."""
     return OneVsRest(
         classifier=LinearSVC(maxIter=max_iter, regParam=reg),
         featuresCol="features",
         labelCol="label_index",
+        parallelism=parallelism,
     ).fit(train)
 
 
+def margin_argmax(model, embedding: Column) -> Column:
+    """Class with the largest margin, from the weights of the per-class models."""
+    margins = F.array(
+        *[
+            F.aggregate(
+                F.zip_with(embedding, F.lit(m.coefficients.toArray().tolist()), lambda x, w: x * w),
+                F.lit(float(m.intercept)),
+                lambda total, x: total + x,
+            )
+            for m in model.models
+        ]
+    )
+    return (F.array_position(margins, F.array_max(margins)) - 1).cast("int")
+
+
 def embedding_pca_2d(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
     """Embeddings projected on their first two principal components."""
     vectors = df.select(key, label, array_to_vector(F.col(embedding)).alias("features"))

@@ -16,7 +16,7 @@ from casewright.functions import labels as lb
 from casewright.functions import lexicon as lc
 from casewright.functions import terms as tm
 from casewright.functions import text as tx
-from casewright.functions.rows import struct_rows
+from casewright.functions.rows import computed_once, struct_rows
 from casewright.operators import attribution, curate, features, joins, metrics, models, split, stats
 from casewright.plans import baseline
 from casewright.plans.corpus import labelled_corpus, retained_label_distribution, with_labels, written
@@ -55,6 +55,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return with_labels(overlay_corpus(spark, d))
 
 
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    return overlay_corpus(spark, d).select("filename", lc.fold_case(F.col("text")).alias("folded"))
+
+
 def _metadata(spark: SparkSession, d: str) -> DataFrame:
     docs = overlay_corpus(spark, d).withColumn("size_bytes", F.octet_length("text").cast("long"))
     return curate.pillar_metadata(docs)
@@ -67,7 +71,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned documents with label columns, all from one scan."""
     cleaned = _scored(spark, d).withColumn("cleaned_text", tx.clean_text(F.col("text")))
-    counted = cleaned.withColumn("token_count", tx.token_count(F.col("cleaned_text")))
+    counted = computed_once(cleaned, {"token_count": tx.token_count(F.col("cleaned_text"))})
     return counted.select(
         "filename", "label", "is_sustainability", "is_greenwash", "token_count",
         tx.exceeds_limit(F.col("token_count")).alias("exceeds_512"), "cleaned_text",
@@ -263,7 +267,7 @@ def numeric_prefix(spark, d):
 @query
 def lexicon_hits(spark, d):
     low = overlay_corpus(spark, d).select("filename", F.lower("text").alias("low"))
-    return low.select("filename", lc.lexicon_hits(F.col("low"), lx.ESG_SIGNAL_TERMS).alias("esg_hits"))
+    return low.select("filename", lc.lexicon_hits("low", lx.ESG_SIGNAL_TERMS).alias("esg_hits"))
 
 
 @query
@@ -278,18 +282,18 @@ def extract_year(spark, d):
 
 @query
 def detect_court(spark, d):
-    return overlay_corpus(spark, d).select("filename", lc.detect_court(F.col("text")).alias("court"))
+    return _folded(spark, d).select("filename", lc.detect_court(F.col("folded")).alias("court"))
 
 
 @query
 def flag_greenwash(spark, d):
-    return overlay_corpus(spark, d).select("filename", lc.flag_greenwash(F.col("text")).alias("is_greenwash"))
+    return _folded(spark, d).select("filename", lc.flag_greenwash(F.col("folded")).alias("is_greenwash"))
 
 
 @query
 def flag_sustainability(spark, d):
     low = overlay_corpus(spark, d).select("filename", F.lower("text").alias("low"))
-    score = lc.lexicon_hits(F.col("low"), lx.SUSTAINABILITY_TERMS)
+    score = lc.lexicon_hits("low", lx.SUSTAINABILITY_TERMS)
     return low.select("filename", lc.flag_sustainability(score).alias("is_sustainability"))
 
 
@@ -895,16 +899,18 @@ def _embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
 
     return table(spark, d, "embeddings").select(
         "vec_id", F.col("label").cast("double").alias("label_index"),
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-    )
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    ).withColumn("features", array_to_vector("embedding"))
 
 
 @query
 def embedding_svm(spark, d):
     data = _embedding_vectors(spark, d)
-    model = models.embedding_svm(data, max_iter=20)
-    return model.transform(data).select(
-        "vec_id", F.col("label_index").cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")
+    probe = models.embedding_svm(data, max_iter=20)
+    return data.select(
+        "vec_id",
+        F.col("label_index").cast("int").alias("actual"),
+        models.margin_argmax(probe, F.col("embedding")).alias("predicted"),
     )
 
 

@@ -9,6 +9,7 @@ from casewright import lexicons as lx
 from casewright.functions import labels as lb
 from casewright.functions import lexicon as lc
 from casewright.functions import text as tx
+from casewright.functions.rows import computed_once
 from casewright.operators import curate, stats
 from casewright.sources.corpus import corpus_scan
 from casewright.sources.storage import scratch_path
@@ -25,7 +26,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def with_labels(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with noise decision, pillar scores and both label rules, in one pass."""
-    scored = curate.signal_scores(docs, text)
+    scored = curate.signal_scores(
+        computed_once(docs, {"is_greenwash": lc.flag_greenwash(lc.fold_case(F.col(text)))}), text
+    )
     e, s, g = F.col("pillar_E"), F.col("pillar_S"), F.col("pillar_G")
     return scored.withColumns(
         {
@@ -33,7 +36,6 @@ def with_labels(docs: DataFrame, text: str = "text") -> DataFrame:
             "label": lb.assign_label(e, s, g),
             "inferred_pillar": lb.infer_pillar(e, s, g),
             "is_sustainability": lc.flag_sustainability(F.col("pillar_Sus")),
-            "is_greenwash": lc.flag_greenwash(F.col(text)),
         }
     )
 

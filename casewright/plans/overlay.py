@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewright.sources.corpus import spread
+
 SENTENCES = [
     "The court granted the motion under the Clean Air Act on carbon emissions and climate "
     "disclosure in 2021. Motion granted. Southern District of New York.",
@@ -44,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def overlay_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, filename, text)`` for every document."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         "doc_id",
         overlay_filename(F.col("doc_id")).alias("filename"),
         F.concat(overlay_sentence(F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"),

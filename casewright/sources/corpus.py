@@ -65,6 +65,16 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*.md", recursive:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand the rows of a few files out to all cores.
+
+    A row group is never split, so a table of few files keeps most cores idle
+    while texts are scored. With at least one file per core nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
+
 def file_name(path: F.Column) -> F.Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -81,8 +81,7 @@ HEADERS = [
 
 
 def collapsed(x: str) -> str:
-    x = sub(sub(x, r"\n{3,}", r"NEWLINES"), "NEWLINES", "\n\n") if False else sub(x, r"\n{3,}", "\n\n")
-    x = sub(x, r"[ \t]{2,}", " ")
+    x = sub(sub(x, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
     return sub(x, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
@@ -151,7 +150,8 @@ def filename(number: str) -> str:
 
 
 COURT = "CASE " + " ".join(
-    f"WHEN regexp_matches(text, {q('(?i)' + p)}) THEN {q(n)}" for n, p in lx.COURTS.items()
+    f"WHEN regexp_matches(text, {q('(?i)' + '|'.join(p).replace('.', chr(92) + '.'))}) THEN {q(n)}"
+    for n, p in lx.COURTS.items()
 ) + " ELSE 'Other' END"
 
 YEARS = rf"regexp_extract_all({folded('substring(text, 1, 2000)')}, '\b(20[0-9]{{2}})\b', 1)"
@@ -220,9 +220,10 @@ CTES = {
     "scores": """SELECT * FROM rule_scores UNION ALL
         SELECT 'length', 'quality', quality, n_chars::DOUBLE FROM labels JOIN documents USING (doc_id)""",
     "classes": f"SELECT unnest([{values(lx.CLASSES)}]) AS class",
-    "confusion": """SELECT model, a.class AS actual, p.class AS predicted, count(x.filename) AS n
-        FROM (SELECT DISTINCT model FROM predictions) m CROSS JOIN classes a CROSS JOIN classes p
-        LEFT JOIN predictions x USING (model) WHERE FALSE GROUP BY ALL""",
+    "confusion": """SELECT model, actual, predicted, count(filename) AS n FROM (
+        SELECT model, a.class AS actual, p.class AS predicted
+        FROM (SELECT DISTINCT model FROM predictions) CROSS JOIN classes a CROSS JOIN classes p)
+        LEFT JOIN predictions USING (model, actual, predicted) GROUP BY ALL""",
     # rank-sum statistic with mean ranks for ties
     "ranked": """SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model, class, score) - 1) / 2.0 AS r
         FROM scores WINDOW w AS (PARTITION BY model, class ORDER BY score)""",
@@ -291,12 +292,6 @@ NEEDS = {
     "raw_scores": ["coefs", "weights"],
 }
 
-CTES["confusion"] = """SELECT model, actual, predicted, count(filename) AS n FROM (
-        SELECT model, a.class AS actual, p.class AS predicted
-        FROM (SELECT DISTINCT model FROM predictions) CROSS JOIN classes a CROSS JOIN classes p)
-        LEFT JOIN predictions USING (model, actual, predicted) GROUP BY ALL"""
-
-
 def oracle(name: str, reads: list[str], body: str, rows: str = "ruled", features: int = lx.MAX_FEATURES) -> None:
     """Register a statement with the entries it needs, in order."""
     ordered: list[str] = []
@@ -378,10 +373,9 @@ FOLD_F1 = """SELECT seed, fold, round(avg(f1), 6) AS macro_f1 FROM (
 oracle("fold_results_flatten", ["folds", "classes"], f"""SELECT seed, fold, macro_f1,
     round(avg(macro_f1) OVER w, 6) AS seed_mean, round(stddev_pop(macro_f1) OVER w, 6) AS seed_std
     FROM ({FOLD_F1}) WINDOW w AS (PARTITION BY seed)""")
-oracle("fold_summary", ["folds", "classes"], f"""WITH f AS ({FOLD_F1})
-    SELECT CAST(seed AS VARCHAR) AS seed, count(*) AS folds, round(avg(macro_f1), 6) AS mean,
-        round(stddev_pop(macro_f1), 6) AS std FROM f GROUP BY ALL
-    UNION ALL SELECT 'all', count(*), round(avg(macro_f1), 6), round(stddev_pop(macro_f1), 6) FROM f""")
+oracle("fold_summary", ["folds", "classes"], f"""SELECT s AS seed, count(*) AS folds, round(avg(macro_f1), 6) AS mean,
+    round(stddev_pop(macro_f1), 6) AS std FROM (
+    SELECT unnest([CAST(seed AS VARCHAR), 'all']) AS s, macro_f1 FROM ({FOLD_F1})) GROUP BY s""")
 
 # --- scalar functions ------------------------------------------------------
 
