@@ -78,11 +78,14 @@ def extract_year(text: Column, window: int = YEAR_WINDOW) -> Column:
 _CASE_VARIANTS = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
 
 
-def fold_case(text: Column) -> Column:
-    """Lower case in which ASCII phrases are found as by a case-blind search."""
+def fold_case(text: Column, lowered: Column | None = None) -> Column:
+    """Lower case in which ASCII phrases are found as by a case-blind search.
+
+    Rare letters aside this is the lower-cased text, which may be passed in.
+    """
     unusual = reduce(or_, [text.contains(c) for c in _CASE_VARIANTS])
     plain = F.translate(text, "".join(_CASE_VARIANTS), "".join(_CASE_VARIANTS.values()))
-    return F.lower(F.when(unusual, plain).otherwise(text))
+    return F.when(unusual, F.lower(plain)).otherwise(F.lower(text) if lowered is None else lowered)
 
 
 def detect_court(folded: Column, courts: dict[str, list[str]] = COURTS) -> Column:

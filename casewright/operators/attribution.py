@@ -9,53 +9,53 @@ terms that occur need rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.rows import struct_rows
-from casewright.operators.features import BROADCAST_TERMS
+from casewright.operators.features import BROADCAST_ROWS
 
 
 def complement_coefficients(
     train_weights: DataFrame,
     vocabulary: DataFrame,
+    n_train: Column,
     alpha: float = 0.5,
     label: str = "label",
-    classes: tuple[str, ...] = (),
+    classes: Sequence[str] = (),
 ) -> DataFrame:
-    """Coefficients ``(class, term, coef)`` of complement naive Bayes, in closed form."""
+    """``(class, term, coef, mean_weight)`` of complement naive Bayes, in closed form.
+
+    One aggregate over the training weights gives the sums per class, from
+    which follow the coefficients and the mean of every term.
+    """
     sums = train_weights.groupBy("term").pivot(label, list(classes)).agg(F.sum("weight"))
     filled = vocabulary.select("term").join(sums, "term", "left")
     by_class = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in classes]
-    total = by_class[0]
-    for s in by_class[1:]:
-        total = total + s
+    total = reduce(add, by_class)
     rows = struct_rows(
-        ["class", "rest"], *[[F.lit(c), total - s + alpha] for c, s in zip(classes, by_class)]
+        ["class", "rest", "mean_weight"],
+        *[[F.lit(c), total - s + alpha, total / n_train] for c, s in zip(classes, by_class)],
     )
     long = filled.select("term", F.inline(rows))
     whole = F.sum("rest").over(Window.partitionBy("class"))  # one row per vocabulary term
-    return long.select("class", "term", (-F.ln(F.col("rest") / whole)).alias("coef"))
-
-
-def term_means(weights: DataFrame, n_docs: F.Column) -> DataFrame:
-    """Mean weight per term over all documents of the background."""
-    return weights.groupBy("term").agg((F.sum("weight") / n_docs).alias("mean_weight"))
+    return long.select("class", "term", (-F.ln(F.col("rest") / whole)).alias("coef"), "mean_weight")
 
 
 def linear_contributions(
-    weights: DataFrame, coefficients: DataFrame, means: DataFrame, key: str, n_terms: int
+    weights: DataFrame, coefficients: DataFrame, key: str, size: int
 ) -> DataFrame:
     """``(key, class, term, contribution, present)`` for the terms of each document.
 
     ``contribution`` is ``coef * (x - mean)``; ``present`` is ``coef * x``, whose
-    sum with the intercept is the score.
+    sum with the intercept is the score. ``size`` is the number of rows of
+    ``coefficients``, which decides whether they are broadcast.
     """
-    table = coefficients.join(means, "term", "left").select(
-        "class", "term", "coef", F.coalesce("mean_weight", F.lit(0.0)).alias("mean_weight")
-    )
-    # One row per class and vocabulary term.
-    table = F.broadcast(table) if n_terms <= BROADCAST_TERMS else table
+    table = F.broadcast(coefficients) if size <= BROADCAST_ROWS else coefficients
     return weights.join(table, "term").select(
         key,
         "class",
@@ -65,17 +65,14 @@ def linear_contributions(
     )
 
 
-def base_scores(coefficients: DataFrame, means: DataFrame) -> DataFrame:
+def base_scores(coefficients: DataFrame) -> DataFrame:
     """Score of the mean document per class, without the intercept."""
-    joined = coefficients.join(means, "term")
-    return joined.groupBy("class").agg(
+    return coefficients.groupBy("class").agg(
         F.sum(F.col("coef") * F.col("mean_weight")).alias("base_score")
     )
 
 
-def mean_absolute(
-    contributions: DataFrame, coefficients: DataFrame, means: DataFrame, n_docs: F.Column, weights: DataFrame
-) -> DataFrame:
+def mean_absolute(contributions: DataFrame, coefficients: DataFrame, n_docs: Column) -> DataFrame:
     """Mean absolute contribution per class and term over all documents.
 
     Documents without the term add ``|coef * mean|`` each; they are counted,
@@ -84,9 +81,8 @@ def mean_absolute(
     seen = contributions.groupBy("class", "term").agg(
         F.sum(F.abs("contribution")).alias("_seen"), F.count("*").alias("_n")
     )
-    table = coefficients.join(means, "term")
     absent = F.abs(F.col("coef") * F.col("mean_weight")) * (n_docs - F.col("_n"))
-    return table.join(seen, ["class", "term"]).select(
+    return coefficients.join(seen, ["class", "term"]).select(
         "class", "term", ((F.col("_seen") + absent) / n_docs).alias("mean_abs")
     )
 

@@ -70,22 +70,29 @@ def dedup_status_union(tagged: DataFrame, kept: str, quarantined: str) -> DataFr
     return listing("canonical", kept).unionByName(listing("duplicate", quarantined))
 
 
-def signal_scores(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add all seven lexicon scores. The text is lower-cased once."""
-    low = "_low"
-    scored = computed_once(
-        docs.withColumn("_low", F.lower(text)),
-        {
-            "noise_terms": lc.lexicon_hits(low, lx.NOISE_TERMS),
-            "esg_hits": lc.lexicon_hits(low, lx.ESG_SIGNAL_TERMS),
-            "pillar_E": lc.lexicon_hits(low, lx.PILLAR_E_TERMS),
-            "pillar_S": lc.lexicon_hits(low, lx.PILLAR_S_TERMS),
-            "pillar_G": lc.lexicon_hits(low, lx.PILLAR_G_TERMS),
-            "pillar_Sus": lc.lexicon_hits(low, lx.SUSTAINABILITY_TERMS),
-            "noise_hits": lc.lexicon_hits(low, lx.NOISE_DOMAIN_TERMS),
-        },
-    )
-    return scored.drop("_low")
+LEXICONS = {
+    "noise_terms": lx.NOISE_TERMS,
+    "esg_hits": lx.ESG_SIGNAL_TERMS,
+    "pillar_E": lx.PILLAR_E_TERMS,
+    "pillar_S": lx.PILLAR_S_TERMS,
+    "pillar_G": lx.PILLAR_G_TERMS,
+    "pillar_Sus": lx.SUSTAINABILITY_TERMS,
+    "noise_hits": lx.NOISE_DOMAIN_TERMS,
+}
+
+
+def _lowered(docs: DataFrame, text: str) -> DataFrame:
+    """Add the text in lower case and folded for case-blind search, each made once."""
+    low = docs.withColumn("_low", F.lower(text))
+    return low.withColumn("_folded", lc.fold_case(F.col(text), F.col("_low")))
+
+
+def signal_scores(docs: DataFrame, text: str = "text", greenwash: bool = False) -> DataFrame:
+    """Add all seven lexicon scores, and the greenwash flag on request."""
+    columns = {name: lc.lexicon_hits("_low", terms) for name, terms in LEXICONS.items()}
+    if greenwash:
+        columns["is_greenwash"] = lc.flag_greenwash(F.col("_folded"))
+    return computed_once(_lowered(docs, text), columns).drop("_low", "_folded")
 
 
 def noise_filter(docs: DataFrame, text: str = "text", override: int = lx.NOISE_OVERRIDE) -> DataFrame:
@@ -113,11 +120,8 @@ def filter_counts(log: DataFrame) -> DataFrame:
 def pillar_metadata(docs: DataFrame, text: str = "text", size: str = "size_bytes") -> DataFrame:
     """Scores, year, court and flags of each document; the text is dropped."""
     low, folded = "_low", F.col("_folded")
-    lowered = docs.select(
-        "filename", size, text, F.lower(text).alias("_low"), lc.fold_case(F.col(text)).alias("_folded")
-    )
     scored = computed_once(
-        lowered,
+        _lowered(docs.select("filename", size, text), text),
         {
             "year": lc.extract_year(F.col(text)),
             "court": lc.detect_court(folded),

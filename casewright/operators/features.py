@@ -11,7 +11,7 @@ from casewright import lexicons as lx
 from casewright.functions import terms as tm
 from casewright.functions.rows import struct_rows
 
-BROADCAST_TERMS = 200_000  # a vocabulary up to this many rows is sent to every task
+BROADCAST_ROWS = 200_000  # a vocabulary or model table up to this size is sent to every task
 
 
 def _is_first(ordered: Column) -> Column:
@@ -33,7 +33,7 @@ def term_counts(docs: DataFrame, groups: Sequence[str], terms: str = "terms") ->
     before it, then gives both numbers; no pass over (document, term) is needed.
     """
     exploded = (
-        docs.select(*groups, F.array_sort(terms).alias("_terms"))
+        docs.select(*groups, F.sort_array(terms).alias("_terms"))
         .select(*groups, F.inline(_is_first(F.col("_terms"))))
     )
     return exploded.groupBy(*groups, "term").agg(
@@ -56,7 +56,7 @@ def doc_term_counts(docs: DataFrame, keep: Sequence[str], terms: str = "terms")
         ),
     )
     return (
-        docs.select(*keep, F.array_sort(terms).alias("_terms"))
+        docs.select(*keep, F.sort_array(terms).alias("_terms"))
         .select(*keep, "_terms", starts.alias("_starts"))
         .select(*keep, F.inline(runs))
     )
@@ -127,14 +127,14 @@ def with_index(vocabulary: DataFrame) -> DataFrame:
 
 
 def tfidf_transform(
-    doc_counts: DataFrame, vocabulary: DataFrame, key: str, max_features: int = lx.MAX_FEATURES
+    doc_counts: DataFrame, vocabulary: DataFrame, key: str, n_terms: int
 ) -> DataFrame:
     """Sub-linear TF-IDF with rows of length one; terms outside the vocabulary go.
 
-    The vocabulary was cut to ``max_features`` rows, so it is broadcast up to a
-    fixed size and joined by key beyond it.
+    ``n_terms`` is the size of the vocabulary: it is broadcast up to a fixed
+    size and joined by key beyond it.
     """
-    vocab = F.broadcast(vocabulary) if max_features <= BROADCAST_TERMS else vocabulary
+    vocab = F.broadcast(vocabulary) if n_terms <= BROADCAST_ROWS else vocabulary
     weighted = doc_counts.join(vocab, "term").withColumn(
         "_raw", (1 + F.ln("tf")) * F.col("idf")
     )

@@ -82,7 +82,7 @@ def class_report(confusion: DataFrame, groups: Sequence[str] = ("model",)) -> Da
         "class",
         _ratio(F.col("hits"), F.col("chosen")).alias("precision"),
         _ratio(F.col("hits"), F.col("support")).alias("recall"),
-        _ratio(2 * F.col("hits"), F.col("chosen") + F.col("support")).alias("f1"),
+        _f1().alias("f1"),
         "support",
     )
 
@@ -91,14 +91,20 @@ def macro_f1(report: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame
     return report.groupBy(*groups).agg(F.avg("f1").alias("macro_f1"))
 
 
-def mcc_multiclass(confusion: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
-    """Matthews correlation over all classes; 0 where it is undefined."""
-    per_class = _class_sums(confusion, groups)
+def _f1() -> Column:
+    return _ratio(2 * F.col("hits"), F.col("chosen") + F.col("support"))
+
+
+def _mcc() -> Column:
+    """Matthews correlation from class sums; 0 where it is undefined."""
     t, p, hits = (F.col(c).cast("double") for c in ("support", "chosen", "hits"))
     s, c = F.sum(t), F.sum(hits)
     p2, t2, pt = F.sum(p * p), F.sum(t * t), F.sum(p * t)
-    bottom = F.sqrt((s * s - p2) * (s * s - t2))
-    return per_class.groupBy(*groups).agg(_ratio(c * s - pt, bottom).alias("mcc"))
+    return _ratio(c * s - pt, F.sqrt((s * s - p2) * (s * s - t2)))
+
+
+def mcc_multiclass(confusion: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
+    return _class_sums(confusion, groups).groupBy(*groups).agg(_mcc().alias("mcc"))
 
 
 def one_vs_rest_flags(
@@ -162,12 +168,10 @@ def evaluate_models(
     predictions: DataFrame, scores: DataFrame, groups: Sequence[str] = ("model",)
 ) -> DataFrame:
     """Macro-F1, MCC and mean AUC per model."""
-    confusion = confusion_matrix(predictions, groups)
-    f1 = macro_f1(class_report(confusion, groups), groups)
-    mcc = mcc_multiclass(confusion, groups)
+    sums = _class_sums(confusion_matrix(predictions, groups), groups)
+    judged = sums.groupBy(*groups).agg(F.avg(_f1()).alias("macro_f1"), _mcc().alias("mcc"))
     auc = auc_ovr(scores, groups).groupBy(*groups).agg(F.avg("auc").alias("auc_macro"))
-    keys = list(groups)
-    return f1.join(mcc, keys).join(auc, keys, "left")
+    return judged.join(auc, list(groups), "left")
 
 
 def best_model(evaluated: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.sources.storage import written
+
 BINS = 1024               # equal-width bins per group
 BIN_TARGET = 200_000      # rows above which a bin is cut again
 
@@ -86,9 +88,13 @@ def running_totals(
         F.max(value).alias("_bin_high"),
         F.greatest(F.ceil(F.count("*") / bin_target), F.lit(1)).alias("_slots"),
     )
-    # At most `bins` rows per group.
-    cut = binned.join(F.broadcast(crowding), [*groups, "_bin"]).withColumn(
-        "_part", _slot(value, "_bin_low", "_bin_high", F.col("_slots"))
+    # At most `bins` rows per group. The totals and the rows below both read the
+    # cut table, which is written so that the steps above run once.
+    cut = written(
+        binned.join(F.broadcast(crowding), [*groups, "_bin"])
+        .withColumn("_part", _slot(value, "_bin_low", "_bin_high", F.col("_slots")))
+        .select(*groups, value, *measures, "_bin", "_part"),
+        "running_totals",
     )
     parts = cut.groupBy(*groups, "_bin", "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
 

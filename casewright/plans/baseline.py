@@ -11,29 +11,33 @@ from casewright import lexicons as lx
 from casewright.functions import terms as tm
 from casewright.functions.text import fill_text
 from casewright.operators import attribution, features, joins, metrics, models, split
-from casewright.plans.corpus import written
+from casewright.sources.storage import written
 
 KEY = "filename"
 
 
 @dataclass
 class Features:
-    """Split documents with their vocabulary and TF-IDF weights."""
+    """Split documents with their term counts and vocabulary, all written tables."""
 
-    docs: DataFrame          # filename, label, split
+    docs: DataFrame          # key, label, split
+    counts: DataFrame        # key, label, split, term, tf
     vocabulary: DataFrame    # term, count, df, idf, index
-    weights: DataFrame       # filename, label, split, term, index, weight
     n_terms: int
+    key: str
 
     def part(self, name: str) -> DataFrame:
         return self.docs.filter(F.col("split") == name)
 
+    def weights(self, name: str | None = None) -> DataFrame:
+        """TF-IDF weights of one split or of all; the choice is made at the scan."""
+        counts = self.counts if name is None else self.counts.filter(F.col("split") == name)
+        return features.tfidf_transform(counts, self.vocabulary, self.key, self.n_terms)
 
-def split_corpus(labelled: DataFrame, key: str = KEY) -> DataFrame:
-    """Add the split. Ranks are found on key and label alone and joined back on the unique key."""
-    known = joins.known_labels(labelled)
-    parts = split.stratified_split(known.select(key, "label"), key)
-    return known.join(parts.select(key, "split"), key)
+
+def split_documents(labelled: DataFrame, key: str = KEY) -> DataFrame:
+    """``(key, label, split)``: ranks need no text, so only two columns are shuffled."""
+    return split.stratified_split(joins.known_labels(labelled.select(key, "label")), key)
 
 
 def fit_features(
@@ -45,15 +49,13 @@ def fit_features(
 ) -> Features:
     """Fit TF-IDF on the training rows and weigh all rows.
 
-    Term counts per document are written once; the vocabulary and the weights
-    both read them, and the texts are tokenised only once.
+    The split and the term counts per document are written once; vocabulary
+    and weights read them, and the texts are tokenised only once.
     """
-    parts = split_corpus(labelled, key)
+    docs = written(split_documents(labelled, key), "split_docs")
+    texts = labelled.select(key, tm.word_tokens(fill_text(F.col(text))).alias("_words"))
     grams = tm.ngram_range(F.col("_words"), 1, 2)
-    tokenised = parts.select(
-        key, "label", "split", tm.word_tokens(fill_text(F.col(text))).alias("_words")
-    ).select(key, "label", "split", grams.alias("terms"))
-    docs = written(parts.select(key, "label", "split"), "split_docs")
+    tokenised = texts.join(docs, key).select(key, "label", "split", grams.alias("terms"))
     counts = written(
         features.doc_term_counts(tokenised, [key, "label", "split"]), "doc_term_counts"
     )
@@ -63,15 +65,14 @@ def fit_features(
     vocabulary = written(
         features.with_index(features.tfidf_fit(per_term, n_train, min_df, max_features)), "vocabulary"
     )
-    weights = features.tfidf_transform(counts, vocabulary, key, max_features)
-    return Features(docs, vocabulary, weights, vocabulary.count())
+    return Features(docs, counts, vocabulary, vocabulary.count(), key)
 
 
 def vectors(fitted: Features, key: str = KEY) -> DataFrame:
     """Model input with balanced class weights from the training rows."""
     table = models.tfidf_vectors(
         fitted.docs,
-        fitted.weights.select(key, "index", "weight"),
+        fitted.weights().select(key, "index", "weight"),
         key,
         "label",
         fitted.n_terms,
@@ -118,14 +119,15 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.evaluate_models(predictions, scores)
 
 
-def contributions(fitted: Features, key: str = KEY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Coefficients, background means and contributions of the complement naive Bayes model."""
-    train = fitted.weights.filter(F.col("split") == "train")
-    coefficients = attribution.complement_coefficients(
-        train, fitted.vocabulary, classes=tuple(lx.CLASSES)
-    )
+def contributions(fitted: Features) -> tuple[DataFrame, DataFrame]:
+    """The complement naive Bayes model as a table, and its contributions on the test rows."""
     n_train = fitted.part("train").agg(F.count("*")).scalar()
-    means = attribution.term_means(train, n_train)
-    test = fitted.weights.filter(F.col("split") == "test")
-    terms = fitted.n_terms * len(lx.CLASSES)
-    return coefficients, means, attribution.linear_contributions(test, coefficients, means, key, terms)
+    table = written(
+        attribution.complement_coefficients(
+            fitted.weights("train"), fitted.vocabulary, n_train, classes=tuple(lx.CLASSES)
+        ),
+        "coefficients",
+    )
+    size = fitted.n_terms * len(lx.CLASSES)
+    rows = attribution.linear_contributions(fitted.weights("test"), table, fitted.key, size)
+    return table, rows

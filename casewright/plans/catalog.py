@@ -19,11 +19,11 @@ from casewright.functions import text as tx
 from casewright.functions.rows import computed_once, struct_rows
 from casewright.operators import attribution, curate, features, joins, metrics, models, split, stats
 from casewright.plans import baseline
-from casewright.plans.corpus import labelled_corpus, retained_label_distribution, with_labels, written
+from casewright.plans.corpus import labelled_corpus, retained_label_distribution, with_labels
 from casewright.plans.overlay import overlay_corpus, overlay_filename, table
 from casewright.sources import corpus as src
 from casewright.sources import tables as tb
-from casewright.sources.storage import scratch_path
+from casewright.sources.storage import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,9 +79,19 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Three rules as models, with a score per class, for every document."""
+    """Three rules as models, with a score per class, for every document.
+
+    Written once, as every metric reads it again.
+    """
+    scored = written(
+        _scored(spark, d).select(
+            "filename", "label", "inferred_pillar", "is_greenwash", "pillar_E", "pillar_S", "pillar_G",
+            F.length("text").alias("n_text"),
+        ),
+        "rule_scores",
+    )
     e, s, g = (F.col(f"pillar_{p}") for p in "ESG")
-    top = split.majority_class(_scored(spark, d)).select("label").scalar()
+    top = split.majority_class(scored).select("label").scalar()
     keyword = (
         F.when((F.col("is_greenwash") == 1) | (e >= 2), F.lit("E"))
         .when(g > 0, F.lit("G"))
@@ -89,7 +99,7 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.lit("Non-ESG"))
     )
     mass = e + s + g + 2.0
-    length = F.least(F.length("text") / 100000.0, F.lit(1.0))
+    length = F.least(F.col("n_text") / 100000.0, F.lit(1.0))
     rules = struct_rows(
         ["model", "predicted", "p_0", "p_1", "p_2", "p_3"],
         [
@@ -102,7 +112,7 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
         ],
         [F.lit("majority_class"), top, *[(top == F.lit(c)).cast("double") for c in lx.CLASSES]],
     )
-    return _scored(spark, d).select("filename", F.col("label").alias("actual"), F.inline(rules))
+    return scored.select("filename", F.col("label").alias("actual"), F.inline(rules))
 
 
 _PROBABILITIES = {c: f"p_{i}" for i, c in enumerate(lx.CLASSES)}
@@ -740,21 +750,21 @@ def tfidf_fit(spark, d):
 
 @query
 def tfidf_transform(spark, d):
-    return _fitted(spark, d).weights.select("filename", "term", r6("weight"))
+    return _fitted(spark, d).weights().select("filename", "term", r6("weight"))
 
 
 @query
 def class_mean_tfidf(spark, d):
     fitted = _fitted(spark, d)
     sizes = fitted.docs.groupBy("label").agg(F.count("*").alias("n"))
-    return features.class_mean_tfidf(fitted.weights, sizes).select("label", "term", r6("mean_weight"))
+    return features.class_mean_tfidf(fitted.weights(), sizes).select("label", "term", r6("mean_weight"))
 
 
 @query
 def top_class_terms(spark, d):
     fitted = _fitted(spark, d)
     sizes = fitted.docs.groupBy("label").agg(F.count("*").alias("n"))
-    means = features.class_mean_tfidf(fitted.weights, sizes).withColumn("mean_weight", F.round("mean_weight", 6))
+    means = features.class_mean_tfidf(fitted.weights(), sizes).withColumn("mean_weight", F.round("mean_weight", 6))
     return features.top_terms(means, ["label"], "mean_weight", 80).select("label", "rank", "term", "mean_weight")
 
 
@@ -762,7 +772,7 @@ def top_class_terms(spark, d):
 def class_term_sums(spark, d):
     fitted = _fitted(spark, d)
     sums = (
-        fitted.weights.filter((F.col("split") == "train") & (F.col("label") == "S"))
+        fitted.weights("train").filter(F.col("label") == "S")
         .groupBy("term")
         .agg(F.round(F.sum("weight"), 6).alias("total"))
     )
@@ -775,7 +785,7 @@ def class_signal_check(spark, d):
     fitted = _fitted(spark, d)
     train = fitted.part("train")
     sums = (
-        fitted.weights.filter(F.col("split") == "train")
+        fitted.weights("train")
         .groupBy("label", "term")
         .agg(F.round(F.sum("weight"), 6).alias("total"))
     )
@@ -876,7 +886,7 @@ def leakage_audit(spark, d):
 @query
 def linear_attribution(spark, d):
     """The 20 strongest terms for every test document and class."""
-    _, _, rows = baseline.contributions(_fitted(spark, d))
+    _, rows = baseline.contributions(_fitted(spark, d))
     rounded = rows.withColumn("contribution", F.round("contribution", 6))
     return attribution.strongest(rounded, "filename").select(
         "filename", "class", "rank", "term", "contribution"
@@ -887,9 +897,9 @@ def linear_attribution(spark, d):
 def global_attribution(spark, d):
     """Mean absolute contribution of the 20 strongest terms of each class."""
     fitted = _fitted(spark, d)
-    coefficients, means, rows = baseline.contributions(fitted)
+    coefficients, rows = baseline.contributions(fitted)
     n_test = fitted.part("test").agg(F.count("*")).scalar()
-    overall = attribution.mean_absolute(rows, coefficients, means, n_test, fitted.weights)
+    overall = attribution.mean_absolute(rows, coefficients, n_test)
     rounded = overall.withColumn("mean_abs", F.round("mean_abs", 6))
     return features.top_terms(rounded, ["class"], "mean_abs", 20).select("class", "rank", "term", "mean_abs")
 

@@ -9,26 +9,14 @@ from casewright import lexicons as lx
 from casewright.functions import labels as lb
 from casewright.functions import lexicon as lc
 from casewright.functions import text as tx
-from casewright.functions.rows import computed_once
 from casewright.operators import curate, stats
 from casewright.sources.corpus import corpus_scan
-from casewright.sources.storage import scratch_path
 from casewright.sources.tables import materialize
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table as a file: a stage boundary that survives a lost executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_labels(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents with noise decision, pillar scores and both label rules, in one pass."""
-    scored = curate.signal_scores(
-        computed_once(docs, {"is_greenwash": lc.flag_greenwash(lc.fold_case(F.col(text)))}), text
-    )
+    scored = curate.signal_scores(docs, text, greenwash=True)
     e, s, g = F.col("pillar_E"), F.col("pillar_S"), F.col("pillar_G")
     return scored.withColumns(
         {
