@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="casewright-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the cluster names.
 
@@ -20,8 +26,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="casewright-")
-        spark.conf.set(CHECKPOINT_DIR, shared)
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/casewright/{name}-{uuid.uuid4().hex}"
 
 

@@ -125,3 +125,14 @@ def test_left_join_and_distribution_keep_empty_groups(spark):
     assert {tuple(r) for r in joined.collect()} == {("a", "E", "1"), ("b", "", "")}
     counts = {r["label"]: r["n"] for r in stats.label_distribution(labels).collect()}
     assert counts == {"E": 1, "S": 0, "G": 0, "Non-ESG": 0}
+
+
+def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
+    from casewright.sources import storage
+
+    assert storage.scratch_path(spark, "x") != storage.scratch_path(spark, "x")
+    monkeypatch.setattr(storage, "CHECKPOINT_DIR", "spark.casewright.unset")
+    assert "casewright-" in storage.scratch_path(spark, "x")
+    spark.conf.set("spark.casewright.set", "/shared/folder/")
+    monkeypatch.setattr(storage, "CHECKPOINT_DIR", "spark.casewright.set")
+    assert storage.scratch_path(spark, "x").startswith("/shared/folder/casewright/x-")
