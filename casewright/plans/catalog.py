@@ -38,16 +38,6 @@ def r6(column: str, alias: str | None = None) -> F.Column:
     return F.round(F.col(column).cast("double"), 6).alias(alias or column)
 
 
-def stop_words(spark: SparkSession) -> list[str]:
-    return sorted(set(general_stop_words()) | set(lx.LEGAL_STOP_WORDS))
-
-
-def general_stop_words() -> list[str]:
-    from pyspark.ml.feature import StopWordsRemover
-
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 # --- shared inputs ---------------------------------------------------------
 
 
@@ -134,7 +124,7 @@ def _tokens_by_label(spark: SparkSession, d: str) -> DataFrame:
     cleaned = _scored(spark, d).select("filename", "label", tx.clean_text(F.col("text")).alias("c"))
     words = cleaned.select("filename", "label", tm.alpha_tokens(tx.analysis_text(F.col("c"))).alias("t"))
     return words.select(
-        "filename", "label", tm.drop_words(F.col("t"), stop_words(spark)).alias("tokens")
+        "filename", "label", tm.drop_words(F.col("t"), lx.STOP_WORDS).alias("tokens")
     )
 
 
@@ -491,7 +481,7 @@ def _word_list(spark: SparkSession, words: list[str]) -> DataFrame:
 @query
 def stopword_anti_join(spark, d):
     listed = features.stop_word_union(
-        _word_list(spark, general_stop_words()), _word_list(spark, lx.LEGAL_STOP_WORDS)
+        _word_list(spark, lx.GENERAL_STOP_WORDS), _word_list(spark, lx.LEGAL_STOP_WORDS)
     )
     return features.stop_word_anti_join(_word_counts(spark, d), listed)
 
@@ -500,7 +490,7 @@ def stopword_anti_join(spark, d):
 def stopword_union(spark, d):
     """The union of both lists, each word with its use in the corpus."""
     listed = features.stop_word_union(
-        _word_list(spark, general_stop_words()), _word_list(spark, lx.LEGAL_STOP_WORDS)
+        _word_list(spark, lx.GENERAL_STOP_WORDS), _word_list(spark, lx.LEGAL_STOP_WORDS)
     )
     used = listed.join(_word_counts(spark, d), "term", "left")
     return used.select("term", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("count", "df")])

@@ -8,10 +8,6 @@ they were.
 
 from __future__ import annotations
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
 from casewright import lexicons as lx
 from casewright.plans.overlay import SENTENCES
 
@@ -30,19 +26,6 @@ def word_list(items) -> str:
     return f"(SELECT unnest([{values(items)}]) AS term)"
 
 
-@cache
-def general_stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, read from the resource in its own jar."""
-    import pyspark
-
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return tuple(w for w in text.splitlines() if w)
-
-
-STOP_WORDS = sorted(set(general_stop_words()) | set(lx.LEGAL_STOP_WORDS))
-
 # --- building blocks -------------------------------------------------------
 
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -238,7 +221,7 @@ CTES = {
         FROM ruled CROSS JOIN (SELECT unnest([42, 123, 7]) AS seed)""",
     # terms
     "alpha_tokens": f"""SELECT filename, label, list_filter({alpha(analysis('cleaned_text'))},
-        lambda t: t NOT IN ({values(STOP_WORDS)})) AS toks FROM clean""",
+        lambda t: t NOT IN ({values(lx.STOP_WORDS)})) AS toks FROM clean""",
     "plain_terms": f"SELECT filename, unnest({alpha('text')}) AS term FROM corpus",
     "plain_counts": """SELECT term, count(*) AS count, count(DISTINCT filename) AS df FROM plain_terms GROUP BY term""",
     "label_terms": "SELECT label, filename, unnest(toks) AS term FROM alpha_tokens",
@@ -435,9 +418,9 @@ PREDICTED = "coalesce(max(predicted) FILTER (actual <> 'Non-ESG' AND model = '{}
 oracle("attach_predictions", ["predictions"], f"""SELECT filename, {PREDICTED.format('majority_class')} AS majority_pred,
     {PREDICTED.format('pillar_rule')} AS pillar_pred, {PREDICTED.format('keyword_rule')} AS keyword_pred
     FROM predictions GROUP BY filename""")
-oracle("stopword_anti_join", ["plain_counts"], f"SELECT * FROM plain_counts WHERE term NOT IN ({values(STOP_WORDS)})")
+oracle("stopword_anti_join", ["plain_counts"], f"SELECT * FROM plain_counts WHERE term NOT IN ({values(lx.STOP_WORDS)})")
 oracle("stopword_union", ["plain_counts"], f"""SELECT term, coalesce(count, 0) AS count, coalesce(df, 0) AS df
-    FROM {word_list(STOP_WORDS)} LEFT JOIN plain_counts USING (term)""")
+    FROM {word_list(lx.STOP_WORDS)} LEFT JOIN plain_counts USING (term)""")
 ENTRIES = [
     (name, term)
     for name, terms in {
