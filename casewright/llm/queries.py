@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import quality_rules, secret_links
+from casewright.llm import license_rules, quality_rules, secret_links
 from casewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.scanned(table(spark, sf_dir, "documents"))
