@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import license_rules, quality_rules, secret_links
+from casewright.llm import license_rules, lp_packing, quality_rules, secret_links
 from casewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op4_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.scanned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lp_packing.pack_documents(table(spark, sf_dir, "documents"))
