@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewright.llm import license_rules, lp_packing, quality_rules, secret_links
+from casewright.llm import (
+    compression_classifier,
+    license_rules,
+    lp_packing,
+    quality_rules,
+    secret_links,
+    source_mixing,
+    warc_archives,
+)
 from casewright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +44,23 @@ def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lp_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archives.archived(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_classifier.scored(docs, compression_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+ORACLES["op3_source_mixing"] = source_mixing.ORACLE
+ORACLES["op6_warc_archives"] = warc_archives.ORACLE
