@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm import (
     compression_classifier,
+    jaccard_join,
     license_rules,
     lp_packing,
     quality_rules,
@@ -64,3 +65,11 @@ def op7_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_source_mixing"] = source_mixing.ORACLE
 ORACLES["op6_warc_archives"] = warc_archives.ORACLE
+
+
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_jaccard_join"] = jaccard_join.ORACLE
