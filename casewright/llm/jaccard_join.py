@@ -16,8 +16,11 @@ components.
 
 Defined results: texts without words (null, empty, blank) have no shingles, are linked with
 nothing and are classes of their own, one for each row; a text of fewer words than a window is
-a single shingle; repeated rows and repeated ids are copies of each other; an empty table
-gives an empty result; other columns are ignored.
+a single shingle; repeated rows are copies of each other, rows that only repeat an id are
+judged by their texts; an empty table gives an empty result; other columns are ignored.
+
+Rows are told apart by their place in the scan, so ``docs`` has to be read from files (as
+stages read what the stage before has written) or come in the same order each time.
 """
 
 from __future__ import annotations
@@ -99,6 +102,11 @@ def chosen_keys(sets: list[np.ndarray], runs: int, rate: float = RATE) -> tuple[
     return [_signed(x) for x in first], [_signed(x) for x in second], parents
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``(_row, doc_id, text)``; the number of a row is its place in the scan of its files."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+
+
 def sketched(docs: DataFrame, runs: int) -> DataFrame:
     """``(_row, doc_id, _set, _n, _keys, _under, _parent)`` of each document, written."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -117,8 +125,7 @@ def sketched(docs: DataFrame, runs: int) -> DataFrame:
                     ["_row", "doc_id", "_set", "_n", "_keys", "_under", "_parent"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    return written(rows.mapInArrow(sketch, schema), "jaccard-sketches")
+    return written(_numbered(docs).mapInArrow(sketch, schema), "jaccard-sketches")
 
 
 def _sizes(keys: DataFrame, name: str) -> DataFrame:
@@ -299,12 +306,8 @@ def _with_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(fetch, "_row bigint, _shingles binary"), "jaccard-shingles")
 
 
-def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """``(doc_id, class_id, copy_of, n_links)`` for every document.
-
-    ``class_id`` is the least id that the document is connected with, ``copy_of`` the least id
-    with the same shingles, ``n_links`` the number of other documents at the threshold or above.
-    """
+def _classes(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and for each distinct set its class: both written."""
     sketches = sketched(docs, runs_for(recall))
     classes = written(
         sketches.filter("_set IS NOT NULL").groupBy("_set").agg(
@@ -322,11 +325,9 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         "_key bigint, _i int, _j int, _block int, _row bigint, _n int, _copies bigint, _keys array<bigint>, _met array<bigint>"
     )
     needed = written(_by_bucket(bucket_rows(reps), _needed, bucket_schema), "jaccard-needed")
-    # The same rows in the same order as when they were numbered: number and text come from one scan.
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "text")
-    rows = needed.join(_with_shingles(numbered, needed), "_row")
+    rows = needed.join(_with_shingles(_numbered(docs).select("_row", "text"), needed), "_row")
     links = written(
-        _by_bucket(rows.select(*needed.columns[:3], *needed.columns[3:], "_shingles"), _compared, "_row bigint, _links bigint, _root bigint"),
+        _by_bucket(rows.select(*needed.columns, "_shingles"), _compared, "_row bigint, _links bigint, _root bigint"),
         "jaccard-links",
     )
     found = components(links.select(F.col("_row").alias("a"), F.col("_root").alias("b")))
@@ -335,14 +336,37 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         classes.join(totals, "_rep", "left").join(found.select(F.col("node").alias("_rep"), "root"), "_rep", "left")
         .withColumn("root", F.coalesce("root", "_rep"))
     )
-    placed = written(placed, "jaccard-placed")
+    return sketches, written(placed, "jaccard-placed")
+
+
+def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``(doc_id, class_id, copy_of, n_links)`` for every document.
+
+    ``class_id`` is the least id that the document is connected with, ``copy_of`` the least id
+    with the same shingles, ``n_links`` the number of other documents at the threshold or above.
+    """
+    sketches, placed = _classes(docs, recall)
     least = placed.groupBy("root").agg(F.min("_least").alias("class_id"))
-    by_set = placed.join(least, "root").select("_set", "class_id", F.col("_least").alias("copy_of"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    links = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
+    by_set = placed.join(least, "root").select("_set", "class_id", F.col("_least").alias("copy_of"), links.alias("n_links"))
     every = sketches.select("doc_id", "_set").join(by_set, "_set", "left")
     own = lambda c: F.when(F.col("_set").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
     return every.select("doc_id", own("class_id"), own("copy_of"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+def deduplicated(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One document of each class, that of the least id; all columns. Texts without words all stay."""
+    sketches, placed = _classes(docs, recall)
+    rows = written(sketches.join(placed.select("_set", "root"), "_set").select("root", "doc_id", "_row"), "jaccard-members")
+    # A null id comes before all others; of repeated ids the first row stays.
+    keepers = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_kept"))
+    dropped = written(rows.join(keepers, "root").filter("_row <> _kept").select("_row"), "jaccard-dropped")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    return named.join(dropped, "_row", "left_anti").select("_doc.*")
+
+
 ORACLE = f"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
