@@ -14,6 +14,7 @@ from casewright.llm import (
     quality_rules,
     secret_links,
     source_mixing,
+    suffix_dedup,
     warc_archives,
 )
 from casewright.llm.common import table
@@ -73,3 +74,8 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_jaccard_join"] = jaccard_join.ORACLE
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
