@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.common import written
 from casewright.llm.components import components
+from casewright.llm.grouping import grouped
 from casewright.llm.shingling import SLICE_BYTES, mix, shingle_sets, word_hashes
 
 WORDS = 5
@@ -194,28 +195,6 @@ def _candidates(key: int, cross: bool, block: np.ndarray, n: np.ndarray, keys: l
     return np.triu(fits, 1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows with equal first ``keys`` columns."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        columns = [table.column(i).to_numpy() for i in range(keys)]
-        change = np.zeros(table.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.nonzero(change)[0].tolist(), table.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = table.slice(a, b - a)
-            if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(keys)):
-                yield pa.concat_tables(held).combine_chunks()
-                held = []
-            held.append(part)
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
 def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(lists, pa.ChunkedArray):
@@ -228,7 +207,7 @@ def _by_bucket(rows: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch | Non
     order = ["_key", "_i", "_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, len(order)):
+        for group in grouped(batches, len(order)):
             if group.num_rows > 1:
                 result = judge(group)
                 if result is not None:

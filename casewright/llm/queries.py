@@ -11,6 +11,7 @@ from casewright.llm import (
     jaccard_join,
     license_rules,
     lp_packing,
+    nn_descent,
     quality_rules,
     secret_links,
     source_mixing,
@@ -79,3 +80,9 @@ ORACLES["op1_jaccard_join"] = jaccard_join.ORACLE
 @query
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nn_descent.nearest(vectors, vectors.filter(vectors.vec_id % 20 == 0))

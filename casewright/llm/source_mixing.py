@@ -44,10 +44,11 @@ def mixing_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
     else:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
         weighed = sizes.withColumn("_weight", F.coalesce(F.try_element_at(given, "_source").cast("double"), F.lit(0.0)))
-    totals = weighed.agg(F.sum("_size").alias("_sizes"), F.sum("_weight").alias("_weights"))
-    # One row of totals beside one row per source.
-    rates = weighed.join(F.broadcast(totals)).withColumn(
-        "rate", F.lit(float(epochs)) * F.col("_weight") / F.col("_weights") * F.col("_sizes") / F.col("_size")
+    weighed = written(weighed, "mixing-sizes")
+    # One row of totals.
+    sizes_sum, weights_sum = weighed.agg(F.sum("_size"), F.sum("_weight")).first()
+    rates = weighed.withColumn(
+        "rate", F.lit(float(epochs)) * F.col("_weight") / F.lit(weights_sum or 1.0) * F.lit(float(sizes_sum or 0)) / F.col("_size")
     )
     drawn = rates.filter("rate > 0").withColumn("draws", F.greatest(F.ceil(F.col("rate") / MEAN), F.lit(1)).cast("int"))
     mean = F.col("rate") / F.col("draws")
