@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from casewright.plans.catalog import QUERIES
@@ -33,6 +34,8 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "spark.casewright.testScanPartitions": cpus,
+            "spark.checkpoint.dir": os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-"),
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

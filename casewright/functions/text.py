@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.lexicons import OUTCOME_MASK, OUTCOME_TERMS, OUTCOME_TRIGGERS, TOKEN_LIMIT
@@ -20,7 +20,8 @@ _SPACE = r"[\s\x1c-\x1f]"
 HEADER_PATTERNS = [
     r"(?dmU)^.{3,60}\d{1,2}/\d{1,2}/\d{4}\s*$",                      # user and date stamp
     r"(?iU)For Educational Use Only",
-    r"(?isU)©?\s*\d{4}\s*Thomson Reuters\..*?Works\.",               # publisher notice
+    # Publisher notice. A run of blanks is entered at its first one only.
+    r"(?isU)(?:©\s*|(?<!\s)\s+|)\d{4}\s*Thomson Reuters\..*?Works\.",
     r"(?dmU)^\d{4} WL \d+\s*$",                                      # citation line
     r"(?iU)Only the Westlaw citation is currently available\.",
     r"(?U)\d+\s+(?:F\.\d[a-z]*|S\.Ct\.|U\.S\.|F\.Supp\.\d*|L\.Ed\.\d*|U\.S\.\s*Dist\.\s*LEXIS)\s+\d+",
@@ -36,7 +37,8 @@ _TERMS = "|".join(OUTCOME_TERMS)
 # Written from the blank between trigger and term: few characters are blanks,
 # so the alternatives are tried rarely. No outcome term ends in the beginning
 # of a trigger, hence no earlier match can take part of a later trigger away.
-_CONTEXT = rf"(?iU)(?=\s+(?:{_TERMS}))(?<={'|'.join(OUTCOME_TRIGGERS)})(\s+)(?:{_TERMS})"
+# A trigger ends in a letter, so a run of blanks is entered at its first one only.
+_CONTEXT = rf"(?iU)(?<!\s)(?=\s+(?:{_TERMS}))(?<={'|'.join(OUTCOME_TRIGGERS)})(\s+)(?:{_TERMS})"
 _INITIALS = "".join(sorted({t[0].upper() for t in OUTCOME_TERMS}))
 _CAPS = rf"(?U)(?=[{_INITIALS}])\b(?:{_TERMS.upper()})\b"
 
@@ -54,7 +56,7 @@ def strip_header_lines(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|(?<!{_SPACE}){_SPACE}+\z", "")
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -115,5 +117,16 @@ def fill_text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def chunk_rows(df: DataFrame, text: str, width: int, stride: int | None = None) -> DataFrame:
+    """One row per run of ``width`` tokens, begun every ``stride`` tokens: ``chunk`` from 0, ``chunk_text``.
+
+    A text without tokens has no chunk.
+    """
+    words = df.select("*", F.explode(F.array(tokens(fill_text(F.col(text))))).alias("_words")).filter(F.size("_words") > 0)
+    starts = F.sequence(F.lit(0), F.size("_words") - 1, F.lit(stride or width))
+    cut = F.transform(starts, lambda i: F.array_join(F.slice("_words", i + 1, width), " "))
+    return words.select(*df.columns, F.posexplode(cut).alias("chunk", "chunk_text"))
+
+
 def truncate_tokens(text: Column, limit: int) -> Column:
     return F.array_join(F.slice(tokens(text), 1, limit), " ")

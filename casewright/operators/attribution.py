@@ -42,8 +42,11 @@ def complement_coefficients(
         *[[F.lit(c), total - s + alpha, total / n_train] for c, s in zip(classes, by_class)],
     )
     long = filled.select("term", F.inline(rows))
-    whole = F.sum("rest").over(Window.partitionBy("class"))  # one row per vocabulary term
-    return long.select("class", "term", (-F.ln(F.col("rest") / whole)).alias("coef"), "mean_weight")
+    # One row per class: a window would put a class's whole vocabulary in one task.
+    whole = long.groupBy("class").agg(F.sum("rest").alias("whole"))
+    return long.join(F.broadcast(whole), "class").select(
+        "class", "term", (-F.ln(F.col("rest") / F.col("whole"))).alias("coef"), "mean_weight"
+    )
 
 
 def linear_contributions(

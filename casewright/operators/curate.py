@@ -51,6 +51,19 @@ def canonical_dedup(docs: DataFrame, key: str = "filename", file: str = "filenam
     )
 
 
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Tag every document ``canonical``, or ``duplicate`` if one of a lower key has the same text.
+
+    The lowest key of a text is combined before the shuffle and matched back on the key, so a
+    text with very many copies meets in no task. Empty texts are no copies of each other.
+    """
+    filled = F.length(F.coalesce(F.col(text), F.lit(""))) > 0
+    first = docs.filter(filled).groupBy(F.sha2(text, 256).alias("_digest")).agg(F.min(key).alias(key))
+    winners = first.select(key, F.lit(True).alias("_winner"))
+    status = F.when(F.col("_winner") | ~filled, F.lit("canonical")).otherwise(F.lit("duplicate"))
+    return docs.join(winners, key, "left").withColumn("status", status).drop("_winner")
+
+
 def dedup_counts(tagged: DataFrame) -> DataFrame:
     canonical = F.count_if(F.col("status") == "canonical")
     return tagged.agg(

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from casewright.sources.storage import written
 
-BINS = 1024               # equal-width bins per group
-BIN_TARGET = 200_000      # rows above which a bin is cut again
-
 
 def seeded_hash(seed: int, key: str) -> F.Column:
     """Reproducible pseudo-random order of a key."""
@@ -52,78 +49,51 @@ def seeded_rank(
     )
 
 
-def _slot(value: str, low: str, high: str, slots: F.Column) -> F.Column:
-    """Equal-width slot from 0 to slots - 1; it never falls as the value rises."""
-    width = F.col(high) - F.col(low)
-    share = F.when(width > 0, (F.col(value) - F.col(low)) / width).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * slots), slots - 1).cast("int")
-
-
 def running_totals(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    descending: bool = False,
-    bins: int = BINS,
-    bin_target: int = BIN_TARGET,
+    df: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str], descending: bool = False
 ) -> DataFrame:
     """Running totals of the measures over ``value`` within each group.
 
     ``df`` holds one row per (group, value), that is, equal values are already
-    summed. Adds ``cum_<m>`` and ``total_<m>``. Bins come from the minimum and
-    maximum, and crowded bins are cut again by their own range, so the bounds
-    are the same on every run and only the balance depends on the data.
+    summed. Adds ``cum_<m>`` and ``total_<m>``. Rows are cut into parts by a
+    range partitioning on group and value: its bounds are quantiles, so parts
+    are even however the values crowd, and the totals do not depend on them.
     """
     groups, measures = list(groups), list(measures)
-    # One row per group: the groups are models and classes, never documents.
-    ranges = df.groupBy(*groups).agg(
-        F.min(value).alias("_low"), F.max(value).alias("_high")
-    )
-    binned = df.join(F.broadcast(ranges), groups).withColumn(
-        "_bin", _slot(value, "_low", "_high", F.lit(bins))
-    )
-    crowding = binned.groupBy(*groups, "_bin").agg(
-        F.min(value).alias("_bin_low"),
-        F.max(value).alias("_bin_high"),
-        F.greatest(F.ceil(F.count("*") / bin_target), F.lit(1)).alias("_slots"),
-    )
-    # At most `bins` rows per group. The totals and the rows below both read the
-    # cut table, which is written so that the steps above run once.
+    # The totals and the rows below both read the cut table, so it is written.
     cut = written(
-        binned.join(F.broadcast(crowding), [*groups, "_bin"])
-        .withColumn("_part", _slot(value, "_bin_low", "_bin_high", F.col("_slots")))
-        .select(*groups, value, *measures, "_bin", "_part"),
+        df.select(*groups, value, *measures)
+        .repartitionByRange(*groups, value)
+        .withColumn("_part", F.spark_partition_id()),
         "running_totals",
     )
-    parts = cut.groupBy(*groups, "_bin", "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
+    parts = cut.groupBy(*groups, "_part").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
 
     def order(name: str) -> F.Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
     earlier = (
         Window.partitionBy(*groups)
-        .orderBy(order("_bin"), order("_part"))
+        .orderBy(order("_part"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = parts.select(
         *groups,
-        "_bin",
         "_part",
         *[F.coalesce(F.sum(f"_{m}").over(earlier), F.lit(0)).alias(f"_before_{m}") for m in measures],
         *[F.sum(f"_{m}").over(Window.partitionBy(*groups)).alias(f"total_{m}") for m in measures],
     )
     inside = (
-        Window.partitionBy(*groups, "_bin", "_part")
+        Window.partitionBy(*groups, "_part")
         .orderBy(order(value))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         cut.select(
-            *groups, value, *measures, "_bin", "_part",
+            *groups, value, *measures, "_part",
             *[F.sum(m).over(inside).alias(f"_inside_{m}") for m in measures],
         )
-        .join(offsets, [*groups, "_bin", "_part"])
+        .join(offsets, [*groups, "_part"])
         .select(
             *groups,
             value,

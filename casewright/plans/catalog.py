@@ -132,8 +132,8 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return written(labelled_corpus(overlay_corpus(spark, d)), "labelled")
 
 
-def _fitted(spark: SparkSession, d: str, max_features: int = lx.MAX_FEATURES) -> baseline.Features:
-    return baseline.fit_features(_labelled(spark, d), max_features=max_features)
+def _fitted(spark: SparkSession, d: str) -> baseline.Features:
+    return baseline.fit_features(_labelled(spark, d))
 
 
 # --- sources and sinks -----------------------------------------------------
@@ -184,7 +184,8 @@ def run_manifest(spark, d):
                 "excluded_count": F.count_if(decision == "exclude"),
             },
         )
-    return tb.read_manifest(spark, f"{folder}/manifest").select("step", "status", "rows", "details")
+    done = tb.read_manifest(spark, f"{folder}/manifest").filter("status = 'complete'")
+    return done.select("step", "status", "rows", "details")
 
 
 @query
@@ -393,6 +394,12 @@ def truncate_tokens(spark, d):
     )
 
 
+@query
+def chunk_tokens(spark, d):
+    docs = overlay_corpus(spark, d).select("filename", tx.clean_text(F.col("text")).alias("c"))
+    return tx.chunk_rows(docs, "c", lx.TOKEN_LIMIT, 384).select("filename", "chunk", "chunk_text")
+
+
 # --- filters ---------------------------------------------------------------
 
 
@@ -464,7 +471,10 @@ def split_membership(spark, d):
 @query
 def attach_predictions(spark, d):
     docs = overlay_corpus(spark, d).select("filename")
-    predicted = _predictions(spark, d).filter(F.col("actual") != "Non-ESG").select("filename", "model", "predicted")
+    rules = _predictions(spark, d)
+    labels = rules.select("filename", F.col("actual").alias("label")).distinct()
+    test = split.stratified_split(labels, "filename").filter(F.col("split") == "test").select("filename")
+    predicted = rules.join(test, "filename", "left_semi").select("filename", "model", "predicted")
     columns = {"majority_class": "majority_pred", "pillar_rule": "pillar_pred", "keyword_rule": "keyword_pred"}
     return metrics.attach_predictions(docs, predicted, "filename", columns)
 
@@ -523,6 +533,11 @@ def canonical_dedup(spark, d):
     return curate.canonical_dedup(overlay_corpus(spark, d)).select("filename", "case_name", "status")
 
 
+@query
+def exact_dedup(spark, d):
+    return curate.exact_dedup(table(spark, d, "documents")).select("doc_id", "status")
+
+
 @query
 def dedup_counts(spark, d):
     return curate.dedup_counts(canonical_dedup(spark, d))
@@ -800,8 +815,8 @@ def outcome_leak_terms(spark, d):
 _TREES = {"trees": 20, "depth": 8, "rounds": 5, "boost_depth": 3}
 
 
-def _model_query(spark: SparkSession, d: str, name: str, max_features: int = lx.MAX_FEATURES) -> DataFrame:
-    data = baseline.vectors(_fitted(spark, d, max_features))
+def _model_query(spark: SparkSession, d: str, name: str) -> DataFrame:
+    data = baseline.vectors(_fitted(spark, d))
     fitted = baseline.train_models(data, **_TREES, names=(name,))
     test = data.filter(F.col("split") == "test")
     out = models.predict(fitted[name], test, name, "filename")
@@ -841,16 +856,16 @@ def complement_nb(spark, d):
 
 @query
 def random_forest(spark, d):
-    return _model_query(spark, d, "random_forest", 2000)
+    return _model_query(spark, d, "random_forest")
 
 
 @query
 def boosted_trees(spark, d):
-    return _model_query(spark, d, "boosted_trees", 1000)
+    return _model_query(spark, d, "boosted_trees")
 
 
 def _forest_importance(spark: SparkSession, d: str) -> DataFrame:
-    fitted = _fitted(spark, d, 2000)
+    fitted = _fitted(spark, d)
     train = baseline.vectors(fitted).filter(F.col("split") == "train")
     forest = models.random_forest(train, _TREES["trees"], _TREES["depth"])
     return models.feature_importance(forest, fitted.vocabulary)

@@ -58,7 +58,7 @@ def curate_corpus(
     status = F.col("status")
     deduped = step(
         "01_deduplicate",
-        lambda: curate.canonical_dedup(corpus_scan(spark, input_dir)),
+        lambda: curate.canonical_dedup(corpus_scan(spark, input_dir, with_path=True), key="path"),
         {
             "canonical_count": F.count_if(status == "canonical"),
             "duplicate_count": F.count_if(status == "duplicate"),

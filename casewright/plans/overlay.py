@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.sources.corpus import spread
+SCAN_PARTITIONS = "spark.casewright.testScanPartitions"
 
 SENTENCES = [
     "The court granted the motion under the Clean Air Act on carbon emissions and climate "
@@ -45,8 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def overlay_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, filename, text)`` for every document."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    """``(doc_id, filename, text)`` for every document.
+
+    A test table is one row group, which one task reads. A caller that wants its rows dealt
+    out says so in ``SCAN_PARTITIONS``; by itself the scan's own splits decide.
+    """
+    docs = table(spark, sf_dir, "documents")
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    docs = docs.repartition(int(wanted), "doc_id") if wanted else docs
+    return docs.select(
         "doc_id",
         overlay_filename(F.col("doc_id")).alias("filename"),
         F.concat(overlay_sentence(F.col("doc_id")), F.lit(" "), F.col("text")).alias("text"),

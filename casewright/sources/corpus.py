@@ -65,31 +65,24 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*.md", recursive:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hand the rows of a few files out to all cores.
-
-    A row group is never split, so a table of few files keeps most cores idle
-    while texts are scored. With at least one file per core nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 def file_name(path: F.Column) -> F.Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def decode_documents(files: DataFrame) -> DataFrame:
-    """``(filename, size_bytes, text)`` from scanned files."""
+def decode_documents(files: DataFrame, with_path: bool = False) -> DataFrame:
+    """``(filename, size_bytes, text)`` from scanned files; the path, on request, tells equal names apart."""
     return files.select(
+        *(["path"] if with_path else []),
         file_name(F.col("path")).alias("filename"),
         F.col("length").alias("size_bytes"),
         decode_utf8(F.col("content")).alias("text"),
     )
 
 
-def corpus_scan(spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False) -> DataFrame:
-    return decode_documents(scan_files(spark, path, pattern, recursive))
+def corpus_scan(
+    spark: SparkSession, path: str, pattern: str = "*.md", recursive: bool = False, with_path: bool = False
+) -> DataFrame:
+    return decode_documents(scan_files(spark, path, pattern, recursive), with_path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from casewright.operators.curate import noise_filter
 from casewright.sources.corpus import decode_documents
-from casewright.sources.storage import scratch_path
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -28,15 +27,18 @@ def stream_files(spark: SparkSession, path: str, pattern: str = "*.md", per_trig
 
 
 def start_filter(
-    spark: SparkSession, path: str, output: str, checkpoint: str | None = None, pattern: str = "*.md"
+    spark: SparkSession, path: str, output: str, checkpoint: str, pattern: str = "*.md"
 ) -> StreamingQuery:
-    """Filter new files into ``output`` by decision, then stop when none are left."""
+    """Filter new files into ``output`` by decision, then stop when none are left.
+
+    ``checkpoint`` remembers which files are done; a restart has to name the same one.
+    """
     decided = noise_filter(decode_documents(stream_files(spark, path, pattern)))
     return (
         decided.writeStream.format("parquet")
         .partitionBy("decision")
         .option("path", output)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -395,6 +395,13 @@ oracle("label_display_name", ["labelled"], """SELECT filename, CASE label WHEN '
 oracle("truncate_tokens", ["clean"], f"""SELECT filename,
     coalesce(array_to_string(({tokens('cleaned_text')})[1:512], ' '), '') AS truncated FROM clean""")
 
+oracle("chunk_tokens", ["clean"], f"""SELECT filename, CAST(floor(pos / 384) AS INTEGER) AS chunk,
+    array_to_string(toks[pos + 1:pos + 512], ' ') AS chunk_text FROM (
+    SELECT filename, toks, unnest(range(0, len(toks), 384)) AS pos FROM (
+    SELECT filename, {tokens('cleaned_text')} AS toks FROM clean))""")
+oracle("exact_dedup", [], """SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR doc_id = min(doc_id) OVER (PARTITION BY text)
+    THEN 'canonical' ELSE 'duplicate' END AS status FROM documents""")
+
 # --- filters and joins -----------------------------------------------------
 
 oracle("noise_filter", ["ruled"], "SELECT decision, filename, noise_terms AS noise_hits, esg_hits FROM ruled")
@@ -414,10 +421,10 @@ oracle("join_labels_left", ["labelled"], f"""SELECT filename, coalesce(label, ''
 oracle("join_mask_counts", ["masks"], "SELECT * FROM masks")
 oracle("split_membership", [], """SELECT doc_id, CASE quality WHEN 1 THEN 'train' WHEN 0 THEN 'test' ELSE 'unused' END
     AS split FROM documents LEFT JOIN labels USING (doc_id)""")
-PREDICTED = "coalesce(max(predicted) FILTER (actual <> 'Non-ESG' AND model = '{}'), '')"
-oracle("attach_predictions", ["predictions"], f"""SELECT filename, {PREDICTED.format('majority_class')} AS majority_pred,
+PREDICTED = "coalesce(max(predicted) FILTER (split = 'test' AND model = '{}'), '')"
+oracle("attach_predictions", ["predictions", "split"], f"""SELECT filename, {PREDICTED.format('majority_class')} AS majority_pred,
     {PREDICTED.format('pillar_rule')} AS pillar_pred, {PREDICTED.format('keyword_rule')} AS keyword_pred
-    FROM predictions GROUP BY filename""")
+    FROM predictions JOIN split USING (filename) GROUP BY filename""")
 oracle("stopword_anti_join", ["plain_counts"], f"SELECT * FROM plain_counts WHERE term NOT IN ({values(lx.STOP_WORDS)})")
 oracle("stopword_union", ["plain_counts"], f"""SELECT term, coalesce(count, 0) AS count, coalesce(df, 0) AS df
     FROM {word_list(lx.STOP_WORDS)} LEFT JOIN plain_counts USING (term)""")

@@ -1,5 +1,6 @@
 """De-duplication, the whole curation job on files, manifests, snapshots, stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from casewright.operators import curate, joins, stats
@@ -53,7 +54,7 @@ def test_curation_job_and_resume(spark, tmp_path):
     (folder / "005-New.md").write_text("carbon")
     again = curate_corpus(spark, str(folder), out)
     assert again["labels"].count() == 2
-    manifest = tb.read_manifest(spark, f"{out}/run_manifest")
+    manifest = tb.read_manifest(spark, f"{out}/run_manifest").filter("status = 'complete'")
     assert manifest.count() == 5
     row = manifest.filter("step = '01_deduplicate'").first()
     assert row["rows"] == 6 and row["details"] == '{"canonical_count": 4, "duplicate_count": 2}'
@@ -136,3 +137,35 @@ def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
     spark.conf.set("spark.casewright.set", "/shared/folder/")
     monkeypatch.setattr(storage, "CHECKPOINT_DIR", "spark.casewright.set")
     assert storage.scratch_path(spark, "x").startswith("/shared/folder/casewright/x-")
+
+
+def test_one_name_in_two_folders_has_one_canonical(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "1-Alpha.md").write_text("carbon")
+    docs = src.corpus_scan(spark, str(tmp_path / "in"), recursive=True, with_path=True)
+    assert sorted(r["status"] for r in curate.canonical_dedup(docs, key="path").collect()) == ["canonical", "duplicate"]
+
+
+def test_failed_forced_run_leaves_the_step_open(spark, tmp_path):
+    def build():
+        raise RuntimeError("no disk")
+
+    args = (str(tmp_path / "t"), str(tmp_path / "m"), spark)
+    first = tb.materialize("s", lambda: spark.range(3), *args)
+    with pytest.raises(RuntimeError):
+        tb.materialize("s", build, *args, force=True)
+    assert first.count() == 3
+    assert tb.last_run(spark, str(tmp_path / "m"), "s") is None
+    assert tb.materialize("s", lambda: spark.range(5), *args).count() == 5
+    assert tb.materialize("s", build, *args).count() == 5
+
+
+def test_file_too_large_is_present(spark):
+    files = spark.createDataFrame([("a", None), ("b", bytearray(b"x"))], "filename string, content binary")
+    expected = spark.createDataFrame([("a",), ("b",), ("c",)], "filename string")
+    hashes = tb.file_hashes(files, expected)
+    found = {r["filename"]: r["sha256"] for r in hashes.collect()}
+    assert found["a"] == "TOO_LARGE" and found["c"] == "NOT_FOUND" and len(found["b"]) == 64
+    checked = tb.integrity_check(hashes.withColumn("sha256", F.lit("0")), hashes)
+    assert {r["filename"]: r["status"] for r in checked.collect()} == {"a": "TOO_LARGE", "b": "MISMATCH", "c": "MISSING"}

@@ -52,7 +52,7 @@ def test_running_totals_with_crowded_bins(spark, descending):
     values = sorted({rng.random() * 1e-6 for _ in range(500)} | {5.0})
     rows = [("m", v, rng.randint(0, 3)) for v in values]
     df = spark.createDataFrame(rows, "g string, v double, n long")
-    out = running_totals(df, ["g"], "v", ["n"], descending, bins=4, bin_target=20)
+    out = running_totals(df, ["g"], "v", ["n"], descending)
     got = {r["v"]: (r["cum_n"], r["total_n"]) for r in out.collect()}
     total, run = sum(n for _, _, n in rows), 0
     for _, v, n in (reversed(rows) if descending else rows):

@@ -1,5 +1,7 @@
 """Edge cases of the column functions, one row each."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,19 @@ def test_scores_are_not_copied_into_filters(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") + plan.count("rlike") == 1
     assert scored.count() == 1
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n " * 500_000, "x" + " \t" * 500_000 + "y"])
+def test_long_blank_runs_take_linear_time(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    start = time.perf_counter()
+    out = df.select(tx.mask_outcomes(F.col("t")), tx.strip_header_lines(F.col("t")), tx.trim_space(F.col("t"))).first()
+    assert time.perf_counter() - start < 20
+    assert out[2] == text.strip()
+
+
+def test_publisher_notice_takes_the_blanks_before_it(spark):
+    rows = {"a  2020 Thomson Reuters. No Works. b": "a  b", "a © 2020 Thomson Reuters. X Works.b": "a  b", "a2020 Thomson Reuters. Works.": "a "}
+    for text, expected in rows.items():
+        df = spark.createDataFrame([(text,)], "t string")
+        assert df.select(tx.strip_header_lines(F.col("t"))).first()[0] == expected
