@@ -1,0 +1,87 @@
+"""The pipeline's stages against plain versions on the smallest tables."""
+
+import re
+
+import pytest
+
+import corpus_pipeline as cp
+from casewright.llm import quality_rules, source_mixing
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    tables = {"documents": docs}
+    for name, stage in cp.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        stage(spark, docs, FOLDER).write.parquet(path)
+        docs = tables[name] = spark.read.parquet(path)
+    return tables
+
+
+def test_columns_stay(stages):
+    for name, _ in cp.STAGES[:-1]:
+        assert stages[name].columns == stages["documents"].columns
+
+
+def test_quality_keeps_whole_rows(stages):
+    kept = quality_rules.judged(stages["documents"]).filter("kept")
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    assert ids(stages["quality"]) == ids(kept)
+    assert stages["quality"].exceptAll(stages["documents"]).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(stages):
+    rows = {r["doc_id"]: r["text"].split() for r in stages["quality"].collect()}
+    sets = {d: set(zip(*(w[i:] for i in range(5)))) for d, w in rows.items()}
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ids, root = sorted(sets), {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if a < b and root[a] != root[b] and near(a, b):
+                    low, high = sorted((root[a], root[b]))
+                    root = {d: low if x == high else x for d, x in root.items()}
+                    changed = True
+    assert sorted(r["doc_id"] for r in stages["near_duplicates"].collect()) == sorted(set(root.values()))
+
+
+def test_no_secret_is_left(stages):
+    pattern = re.compile(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}")
+    before = {r["doc_id"]: r["text"] for r in stages["near_duplicates"].collect()}
+    after = {r["doc_id"]: r["text"] for r in stages["secrets"].collect()}
+    assert before.keys() == after.keys()
+    assert any(pattern.search(t) for t in before.values())
+    for d, text in after.items():
+        assert not pattern.search(text), d
+        assert text == before[d] or "[SECRET]" in text
+
+
+def test_mixing_repeats_kept_documents(stages):
+    mixed = source_mixing.mixed(stages["secrets"])
+    key = lambda df: sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    assert key(stages["mixing"]) == key(mixed)
+
+
+def test_packing_holds_every_copy(stages):
+    pieces = stages["packing"].collect()
+    heads = sorted(r["doc_id"] for r in pieces if r["piece"] == 0)
+    assert heads == sorted(r["doc_id"] for r in stages["mixing"].collect())
+    by_sequence = {}
+    for r in pieces:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_run_gives_the_same(spark, stages):
+    key = lambda df: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert key(cp.run(spark, FOLDER)) == key(stages["packing"])
