@@ -17,7 +17,7 @@ from casewright.functions import lexicon as lc
 from casewright.functions import terms as tm
 from casewright.functions import text as tx
 from casewright.functions.rows import computed_once, struct_rows
-from casewright.operators import attribution, curate, features, joins, metrics, models, split, stats
+from casewright.operators import attribution, curate, features, joins, metrics, models, near_dup, split, stats
 from casewright.plans import baseline
 from casewright.plans.corpus import labelled_corpus, retained_label_distribution, with_labels
 from casewright.plans.overlay import overlay_corpus, overlay_filename, table
@@ -538,6 +538,18 @@ def exact_dedup(spark, d):
     return curate.exact_dedup(table(spark, d, "documents")).select("doc_id", "status")
 
 
+@query
+def near_dup_pairs(spark, d):
+    """Pairs of distinct term vectors; copies are represented by the least of them."""
+    vectors, _ = near_dup.term_vectors(table(spark, d, "documents"))
+    return near_dup.near_dup_pairs(vectors).select("a", "b", r6("cosine"))
+
+
+@query
+def near_dup_clusters(spark, d):
+    return near_dup.near_dup_clusters(table(spark, d, "documents"))
+
+
 @query
 def dedup_counts(spark, d):
     return curate.dedup_counts(canonical_dedup(spark, d))

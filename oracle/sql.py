@@ -399,6 +399,22 @@ oracle("chunk_tokens", ["clean"], f"""SELECT filename, CAST(floor(pos / 384) AS
     array_to_string(toks[pos + 1:pos + 512], ' ') AS chunk_text FROM (
     SELECT filename, toks, unnest(range(0, len(toks), 384)) AS pos FROM (
     SELECT filename, {tokens('cleaned_text')} AS toks FROM clean))""")
+NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, list_sort({words("coalesce(text, '')")}) AS ws FROM documents),
+    m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(ws, ' ')) AS rep FROM w WHERE len(ws) > 0),
+    t AS (SELECT rep, term, count(*) AS n FROM (SELECT rep, unnest(ws) AS term FROM w JOIN m USING (doc_id)
+        WHERE doc_id = rep) GROUP BY ALL),
+    norms AS (SELECT rep, sum(n * n) AS norm2 FROM t GROUP BY rep),
+    dots AS (SELECT x.rep AS a, y.rep AS b, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.term = y.term AND x.rep < y.rep
+        GROUP BY ALL),
+    near AS (SELECT a, b, dot / sqrt(p.norm2::DOUBLE * q.norm2::DOUBLE) AS cosine FROM dots
+        JOIN norms p ON p.rep = a JOIN norms q ON q.rep = b WHERE dot / sqrt(p.norm2::DOUBLE * q.norm2::DOUBLE) > 0.95),
+    linked AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    reach AS (SELECT rep AS node, rep AS root FROM norms
+        UNION SELECT linked.b, reach.root FROM reach JOIN linked ON linked.a = reach.node),
+    roots AS (SELECT node AS rep, min(root) AS cluster FROM reach GROUP BY node)"""
+oracle("near_dup_pairs", [], f"{NEAR} SELECT a, b, round(cosine, 6) AS cosine FROM near")
+oracle("near_dup_clusters", [], f"""{NEAR} SELECT doc_id, coalesce(cluster, doc_id) AS cluster FROM documents
+    LEFT JOIN m USING (doc_id) LEFT JOIN roots USING (rep)""")
 oracle("exact_dedup", [], """SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR doc_id = min(doc_id) OVER (PARTITION BY text)
     THEN 'canonical' ELSE 'duplicate' END AS status FROM documents""")
 
