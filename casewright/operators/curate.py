@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,15 @@ def _lowered(docs: DataFrame, text: str) -> DataFrame:
     return low.withColumn("_folded", lc.fold_case(F.col(text), F.col("_low")))
 
 
-def signal_scores(docs: DataFrame, text: str = "text", greenwash: bool = False) -> DataFrame:
-    """Add all seven lexicon scores, and the greenwash flag on request."""
-    columns = {name: lc.lexicon_hits("_low", terms) for name, terms in LEXICONS.items()}
+def signal_scores(
+    docs: DataFrame, text: str = "text", greenwash: bool = False, names: Sequence[str] = tuple(LEXICONS)
+) -> DataFrame:
+    """Add the named lexicon scores (all seven by default), and the greenwash flag on request.
+
+    Scores stay where they are computed, out of the optimizer's reach, so ask for those
+    that are used.
+    """
+    columns = {name: lc.lexicon_hits("_low", LEXICONS[name]) for name in names}
     if greenwash:
         columns["is_greenwash"] = lc.flag_greenwash(F.col("_folded"))
     return computed_once(_lowered(docs, text), columns).drop("_low", "_folded")
@@ -187,6 +195,16 @@ def cleaned_table(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     )
 
 
+def cleaned_labelled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The same table from documents that carry their labels: one pass over the text, no join."""
+    cleaned = docs.withColumn("cleaned_text", tx.clean_text(F.col(text)))
+    counted = computed_once(cleaned, {"token_count": tx.token_count(F.col("cleaned_text"))})
+    return counted.select(
+        "filename", "label", "is_sustainability", "is_greenwash", "token_count",
+        tx.exceeds_limit(F.col("token_count")).alias("exceeds_512"), "cleaned_text",
+    )
+
+
 def lexicon_matches(docs: DataFrame, lexicons: dict[str, list[str]], text: str = "text") -> DataFrame:
     """One row per document and lexicon entry found in it.
 

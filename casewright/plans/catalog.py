@@ -16,10 +16,10 @@ from casewright.functions import labels as lb
 from casewright.functions import lexicon as lc
 from casewright.functions import terms as tm
 from casewright.functions import text as tx
-from casewright.functions.rows import computed_once, struct_rows
+from casewright.functions.rows import struct_rows
 from casewright.operators import attribution, curate, features, joins, metrics, models, near_dup, split, stats
 from casewright.plans import baseline
-from casewright.plans.corpus import labelled_corpus, retained_label_distribution, with_labels
+from casewright.plans.corpus import PILLARS, labelled_corpus, retained_label_distribution, with_labels
 from casewright.plans.overlay import overlay_corpus, overlay_filename, table
 from casewright.sources import corpus as src
 from casewright.sources import tables as tb
@@ -41,8 +41,8 @@ def r6(column: str, alias: str | None = None) -> F.Column:
 # --- shared inputs ---------------------------------------------------------
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return with_labels(overlay_corpus(spark, d))
+def _scored(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return with_labels(overlay_corpus(spark, d), columns=columns)
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
@@ -60,12 +60,7 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned documents with label columns, all from one scan."""
-    cleaned = _scored(spark, d).withColumn("cleaned_text", tx.clean_text(F.col("text")))
-    counted = computed_once(cleaned, {"token_count": tx.token_count(F.col("cleaned_text"))})
-    return counted.select(
-        "filename", "label", "is_sustainability", "is_greenwash", "token_count",
-        tx.exceeds_limit(F.col("token_count")).alias("exceeds_512"), "cleaned_text",
-    )
+    return curate.cleaned_labelled(_scored(spark, d, "label", "is_sustainability", "is_greenwash"))
 
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +69,7 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     Written once, as every metric reads it again.
     """
     scored = written(
-        _scored(spark, d).select(
+        _scored(spark, d, "label", "inferred_pillar", "is_greenwash").select(
             "filename", "label", "inferred_pillar", "is_greenwash", "pillar_E", "pillar_S", "pillar_G",
             F.length("text").alias("n_text"),
         ),
@@ -121,7 +116,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _tokens_by_label(spark: SparkSession, d: str) -> DataFrame:
     """Alphabetic tokens without stop words, of every document."""
-    cleaned = _scored(spark, d).select("filename", "label", tx.clean_text(F.col("text")).alias("c"))
+    cleaned = _scored(spark, d, "label").select("filename", "label", tx.clean_text(F.col("text")).alias("c"))
     words = cleaned.select("filename", "label", tm.alpha_tokens(tx.analysis_text(F.col("c"))).alias("t"))
     return words.select(
         "filename", "label", tm.drop_words(F.col("t"), lx.STOP_WORDS).alias("tokens")
@@ -224,7 +219,9 @@ def integrity_check(spark, d):
 
 
 def _fold_scores(spark: SparkSession, d: str) -> DataFrame:
-    labelled = written(_scored(spark, d).select("filename", "label", "inferred_pillar"), "fold_labels")
+    labelled = written(
+        _scored(spark, d, "label", "inferred_pillar").select("filename", "label", "inferred_pillar"), "fold_labels"
+    )
     folds = split.repeated_kfold(labelled, "filename")
     keys = ["seed", "fold"]
     judged = folds.select(*keys, F.col("label").alias("actual"), F.col("inferred_pillar").alias("predicted"))
@@ -300,7 +297,7 @@ def flag_sustainability(spark, d):
 
 @query
 def infer_pillar(spark, d):
-    return _scored(spark, d).select("filename", "pillar_E", "pillar_S", "pillar_G", "inferred_pillar")
+    return _scored(spark, d, "inferred_pillar").select("filename", "pillar_E", "pillar_S", "pillar_G", "inferred_pillar")
 
 
 @query
@@ -310,7 +307,8 @@ def assign_label(spark, d):
 
 @query
 def signal_strength(spark, d):
-    return _labels(spark, d).select("filename", "signal_strength")
+    scored = _scored(spark, d, "label")
+    return scored.select("filename", lb.signal_strength(*[F.col(p) for p in PILLARS]).alias("signal_strength"))
 
 
 @query
@@ -573,7 +571,7 @@ def corpus_totals(spark, d):
 
 @query
 def pillar_distribution(spark, d):
-    return stats.distribution(_scored(spark, d), "inferred_pillar").withColumn("pct", F.round("pct", 6))
+    return stats.distribution(_scored(spark, d, "inferred_pillar"), "inferred_pillar").withColumn("pct", F.round("pct", 6))
 
 
 @query

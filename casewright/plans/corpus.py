@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,29 +16,43 @@ from casewright.sources.corpus import corpus_scan
 from casewright.sources.tables import materialize
 
 
-def with_labels(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents with noise decision, pillar scores and both label rules, in one pass."""
-    scored = curate.signal_scores(docs, text, greenwash=True)
-    e, s, g = F.col("pillar_E"), F.col("pillar_S"), F.col("pillar_G")
-    return scored.withColumns(
-        {
-            "decision": lb.noise_decision(F.col("noise_terms"), F.col("esg_hits"), lx.NOISE_OVERRIDE),
-            "label": lb.assign_label(e, s, g),
-            "inferred_pillar": lb.infer_pillar(e, s, g),
-            "is_sustainability": lc.flag_sustainability(F.col("pillar_Sus")),
-        }
-    )
+PILLARS = ("pillar_E", "pillar_S", "pillar_G")
+# Column -> the scores it is made of.
+MADE_OF = {
+    "decision": ("noise_terms", "esg_hits"),
+    "label": PILLARS,
+    "inferred_pillar": PILLARS,
+    "is_sustainability": ("pillar_Sus",),
+    "is_greenwash": (),
+}
+
+
+def with_labels(docs: DataFrame, text: str = "text", columns: Sequence[str] = tuple(MADE_OF)) -> DataFrame:
+    """Documents with the wanted of noise decision, labels and flags, and their scores, in one pass."""
+    wanted = {name for column in columns for name in MADE_OF[column]}
+    names = [name for name in curate.LEXICONS if name in wanted]
+    scored = curate.signal_scores(docs, text, greenwash="is_greenwash" in columns, names=names)
+    pillars = [F.col(p) for p in PILLARS]
+    made = {
+        "decision": lambda: lb.noise_decision(F.col("noise_terms"), F.col("esg_hits"), lx.NOISE_OVERRIDE),
+        "label": lambda: lb.assign_label(*pillars),
+        "inferred_pillar": lambda: lb.infer_pillar(*pillars),
+        "is_sustainability": lambda: lc.flag_sustainability(F.col("pillar_Sus")),
+    }
+    return scored.withColumns({name: make() for name, make in made.items() if name in columns})
 
 
 def labelled_corpus(docs: DataFrame) -> DataFrame:
     """Retained documents with their label and cleaned text."""
-    kept = with_labels(docs).filter(F.col("decision") == "retain")
+    kept = with_labels(docs, columns=("decision", "label")).filter(F.col("decision") == "retain")
     return kept.select("filename", "label", tx.clean_text(F.col("text")).alias("cleaned_text"))
 
 
 def retained_label_distribution(docs: DataFrame) -> DataFrame:
     """Label distribution of the retained corpus, the flagship query."""
-    return stats.label_distribution(with_labels(docs).filter(F.col("decision") == "retain"))
+    return stats.label_distribution(
+        with_labels(docs, columns=("decision", "label")).filter(F.col("decision") == "retain")
+    )
 
 
 def curate_corpus(
@@ -88,7 +104,9 @@ def curate_corpus(
     )
     cleaned = step(
         "05_cleaned",
-        lambda: curate.cleaned_table(retained, labels),
+        lambda: curate.cleaned_labelled(
+            with_labels(retained, columns=("label", "is_sustainability", "is_greenwash"))
+        ),
         {"over_512_count": F.sum("exceeds_512"), "avg_token_count": F.avg("token_count")},
     )
     return {

@@ -185,3 +185,13 @@ def test_publisher_notice_takes_the_blanks_before_it(spark):
     for text, expected in rows.items():
         df = spark.createDataFrame([(text,)], "t string")
         assert df.select(tx.strip_header_lines(F.col("t"))).first()[0] == expected
+
+
+def test_only_the_wanted_scores_are_computed(spark):
+    from casewright.plans.corpus import with_labels
+
+    df = spark.createDataFrame([("f", "climate")], "filename string, text string")
+    count = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("RLIKE")
+    few = with_labels(df, columns=("label",)).select("label")
+    assert few.first()[0] == "E"
+    assert 0 < count(few) < count(with_labels(df).select("label"))
