@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright import lexicons as lx
 from casewright.functions import terms as tm
 from casewright.functions.text import fill_text
 from casewright.operators import attribution, features, joins, metrics, models, split
+from casewright.operators.ranking import seeded_hash
 from casewright.sources.storage import written
+from casewright.sources.tables import materialize
 
 KEY = "filename"
 
@@ -25,14 +27,17 @@ class Features:
     vocabulary: DataFrame    # term, count, df, idf, index
     n_terms: int
     key: str
+    _weights: DataFrame | None = None
 
     def part(self, name: str) -> DataFrame:
         return self.docs.filter(F.col("split") == name)
 
     def weights(self, name: str | None = None) -> DataFrame:
-        """TF-IDF weights of one split or of all; the choice is made at the scan."""
-        counts = self.counts if name is None else self.counts.filter(F.col("split") == name)
-        return features.tfidf_transform(counts, self.vocabulary, self.key, self.n_terms)
+        """TF-IDF weights of one split or of all; weighed once, the choice is made at the scan."""
+        if self._weights is None:
+            weighed = features.tfidf_transform(self.counts, self.vocabulary, self.key, self.n_terms)
+            self._weights = written(weighed, "tfidf_weights")
+        return self._weights if name is None else self._weights.filter(F.col("split") == name)
 
 
 def split_documents(labelled: DataFrame, key: str = KEY) -> DataFrame:
@@ -40,6 +45,27 @@ def split_documents(labelled: DataFrame, key: str = KEY) -> DataFrame:
     return split.stratified_split(joins.known_labels(labelled.select(key, "label")), key)
 
 
+def split_bounds(docs: DataFrame, key: str = KEY, seed: int = lx.SEED) -> DataFrame:
+    """Last hash of the test rows, and of test and validation rows, per label: one row per class.
+
+    The seeded split is an order by hash, so these bounds say where a row belongs.
+    """
+    hashed = docs.withColumn("_hash", seeded_hash(seed, key))
+    last = lambda *names: F.max(F.when(F.col("split").isin(*names), F.col("_hash")))
+    return hashed.groupBy("label").agg(last("test").alias("_test"), last("test", "val").alias("_val"))
+
+
+def with_split(df: DataFrame, bounds: DataFrame, key: str = KEY, seed: int = lx.SEED) -> DataFrame:
+    """Add ``split`` to rows with a known label, without moving them."""
+    placed = df.join(F.broadcast(bounds), "label").withColumn("_hash", seeded_hash(seed, key))
+    split = (
+        F.when(F.col("_hash") <= F.col("_test"), F.lit("test"))
+        .when(F.col("_hash") <= F.col("_val"), F.lit("val"))
+        .otherwise(F.lit("train"))
+    )
+    return placed.withColumn("split", split).drop("_hash", "_test", "_val")
+
+
 def fit_features(
     labelled: DataFrame,
     min_df: int = lx.MIN_DF,
@@ -53,9 +79,10 @@ def fit_features(
     and weights read them, and the texts are tokenised only once.
     """
     docs = written(split_documents(labelled, key), "split_docs")
-    texts = labelled.select(key, tm.word_tokens(fill_text(F.col(text))).alias("_words"))
+    texts = labelled.select(key, "label", tm.word_tokens(fill_text(F.col(text))).alias("_words"))
     grams = tm.ngram_range(F.col("_words"), 1, 2)
-    tokenised = texts.join(docs, key).select(key, "label", "split", grams.alias("terms"))
+    placed = with_split(texts, split_bounds(docs, key), key)
+    tokenised = placed.select(key, "label", "split", grams.alias("terms"))
     counts = written(
         features.doc_term_counts(tokenised, [key, "label", "split"]), "doc_term_counts"
     )
@@ -119,6 +146,49 @@ def evaluate(predictions: DataFrame) -> DataFrame:
     return metrics.evaluate_models(predictions, scores)
 
 
+PREDICTED = {
+    "majority_class": "majority_pred",
+    "bow_logistic_regression": "bow_pred",
+    "logistic_regression": "lr_pred",
+    "complement_naive_bayes": "nb_pred",
+    "random_forest": "rf_pred",
+    "boosted_trees": "gbt_pred",
+}
+
+
+def train_baseline(
+    spark: SparkSession, labelled: DataFrame, output_dir: str, force: bool = False, **settings: int
+) -> dict[str, DataFrame]:
+    """Train the six models, predict the test rows and judge the predictions.
+
+    ``settings`` are those of the tree models (see ``train_models``; 500 trees and rounds by
+    default). Tables: ``predictions`` with a row per model and test document, ``documents``
+    with the split and one column per model (empty off the test rows), ``metrics`` and
+    ``best``. Each is a step of the manifest, and a completed step is not run again.
+    """
+    manifest = f"{output_dir}/run_manifest"
+    # Trained only if a step asks for it.
+    made: dict[str, object] = {}
+
+    def features_once() -> Features:
+        if "features" not in made:
+            made["features"] = fit_features(labelled)
+        return made["features"]
+
+    def step(name, build, metrics_=None):
+        return materialize(name, build, f"{output_dir}/{name}", manifest, spark, metrics_, (), force)
+
+    def predictions() -> DataFrame:
+        data = vectors(features_once())
+        return predict_all(train_models(data, **settings), data)
+
+    predicted = step("06_predictions", predictions, {"test_rows": F.count_if(F.col("model") == "majority_class")})
+    wide = step("06_documents", lambda: metrics.attach_predictions(features_once().docs, predicted, KEY, PREDICTED))
+    judged = step("06_metrics", lambda: evaluate(predicted))
+    best = step("06_best", lambda: metrics.best_model(judged))
+    return {"predictions": predicted, "documents": wide, "metrics": judged, "best": best}
+
+
 def contributions(fitted: Features) -> tuple[DataFrame, DataFrame]:
     """The complement naive Bayes model as a table, and its contributions on the test rows."""
     n_train = fitted.part("train").agg(F.count("*")).scalar()

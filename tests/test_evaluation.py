@@ -172,3 +172,39 @@ def test_tfidf_nb_and_attribution_agree(spark):
         score = sum(w * coef[c, t] for t, w in expected[f].items())
         absent = sum(-coef[c, t] * mean[t] for t in vocabulary if t not in expected[f])
         assert s + absent == pytest.approx(score - base[c])
+
+
+def test_model_job_end_to_end(spark, tmp_path):
+    """Six models trained, their predictions written and judged, and not trained twice."""
+    from casewright.plans import baseline
+
+    rng = random.Random(3)
+    own = {"E": ["carbon", "climate"], "S": ["labor", "safety"], "G": ["proxy", "board"], "Non-ESG": ["patent", "brand"]}
+    common = ["matter", "review", "party", "record", "ruling"]
+    rows = [
+        (f"{i}.md", label, " ".join(rng.choices(own[label] + common, k=40)))
+        for i, label in enumerate(rng.choices(list(own), k=160))
+    ]
+    labelled = spark.createDataFrame(rows, "filename string, label string, cleaned_text string")
+    out = str(tmp_path / "models")
+    tables = baseline.train_baseline(spark, labelled, out, trees=5, depth=4, rounds=2, boost_depth=2)
+    documents = tables["documents"].collect()
+    assert len(documents) == 160
+    for row in documents:
+        filled = [row[c] != "" for c in baseline.PREDICTED.values()]
+        assert all(filled) if row["split"] == "test" else not any(filled)
+    scores = {r["model"]: r["macro_f1"] for r in tables["metrics"].collect()}
+    assert set(scores) == set(baseline.PREDICTED)
+    assert scores["logistic_regression"] > scores["majority_class"]
+    assert scores[tables["best"].first()["model"]] == max(scores.values())
+    again = baseline.train_baseline(spark, None, out)
+    assert again["predictions"].count() == tables["predictions"].count()
+
+
+def test_split_by_bounds_is_the_ranked_split(spark):
+    from casewright.plans import baseline
+
+    docs = spark.range(500).select(F.col("id").cast("string").alias("filename"), F.element_at(F.array(*map(F.lit, "ESG")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
+    ranked = split.stratified_split(docs, "filename")
+    placed = baseline.with_split(docs, baseline.split_bounds(ranked))
+    assert placed.select("filename", "label", "split").exceptAll(ranked.select("filename", "label", "split")).count() == 0
