@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_PIECES = 400_000    # distinct pieces a worker remembers, about 100 MB
-SLICE_BYTES = 8 << 20      # text worked on at a time
+CACHED_PIECES = 150_000    # distinct pieces a worker remembers, about 40 MB
+SLICE_BYTES = 2 << 20      # text worked on at a time; a worker needs about forty times as much
 JOINED_CHARS = 20_000      # distinct pieces are handed to the tokenizer in texts of this length
 
 _AFTER_SPACE = re.compile(r"\s ")

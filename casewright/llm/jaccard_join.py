@@ -181,6 +181,22 @@ def _incidence(lists: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, some thousand distinct values at a time."""
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    code = np.cumsum(np.concatenate([[0], (flat[1:] != flat[:-1]).astype(np.int64)]))
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(code[-1]) + 1, columns):
+        a, b = np.searchsorted(code, [first, first + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], code[a:b] - first] = 1
+        total += part @ part.T
+    return total
+
+
 def _candidates(key: int, cross: bool, block: np.ndarray, n: np.ndarray, keys: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
     """Pairs (upper triangle) of a bucket to be compared in it."""
     sizes = np.array([len(np.unique(k)) for k in keys], float)
@@ -238,14 +254,13 @@ def _compared(group: pa.Table) -> pa.RecordBatch | None:
     pairs = _pairs_in(group)
     sets = [np.frombuffer(s, "<u4") for s in group.column("_shingles").to_pylist()]
     size = np.array([len(s) for s in sets], float)
-    tokens = _incidence(sets)
     left, right = np.nonzero(pairs)
     if not len(left):
         return None
-    if len(left) * 4 < len(sets) ** 2:
-        inter = np.fromiter((tokens[a] @ tokens[b] for a, b in zip(left, right)), float, len(left))
+    if len(left) < 4 * len(sets):
+        inter = np.fromiter((len(np.intersect1d(sets[a], sets[b], True)) for a, b in zip(left, right)), float, len(left))
     else:
-        inter = (tokens @ tokens.T)[left, right]
+        inter = _common(sets)[left, right]
     # inter / union >= 4/5 in whole numbers.
     linked = (NUMERATOR + DENOMINATOR) * inter >= NUMERATOR * (size[left] + size[right])
     left, right = left[linked], right[linked]
