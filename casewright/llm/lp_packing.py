@@ -4,10 +4,10 @@ Documents become token pieces of at most ``CAPACITY`` tokens. Their lengths form
 histogram of at most ``CAPACITY`` rows, whatever the size of the corpus. A configuration is
 a multiset of lengths that fits one sequence; the linear program asks for the fewest
 configurations that cover the histogram. It is solved by multiplicative weights: a knapsack
-dynamic program finds the configuration of largest value under the present prices, it is
-used for a share of what its scarcest length still needs, and the prices of the lengths it
-covered fall. Fractional uses are rounded down; what is left over is packed by patterns that
-begin with the longest piece and always take the longest that still fits.
+dynamic program prices all configurations, for every length that is still open the best one
+that holds it is used for a share of what its scarcest length needs, and the prices of the
+lengths it covered fall. Uses are whole, so rounds run until every piece is covered and
+nothing is left to rounding. Of equal values the longer lengths are taken.
 
 Only the histogram and the patterns pass through the driver, both bounded by ``CAPACITY``.
 Pieces are numbered within their length by hash bucket, so that a length which a third of
@@ -20,6 +20,7 @@ input are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,9 +35,10 @@ from casewright.llm.common import written
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 200         # pricing rounds of the linear program
-STEP = 0.5           # share of the scarcest length's remaining need that a round covers
+STEP = 0.5           # share of the scarcest length's remaining need that a use covers
 ETA = 1.0            # how fast the price of a covered length falls
+TILT = 0.01          # by how much more a token of a longer piece is worth at the start
+FULL = 0.995         # share of its promised value that a configuration must still have
 BUCKETS = 64         # hash buckets in which the pieces of one length are numbered
 
 
@@ -49,56 +51,98 @@ class Pattern:
     lengths: dict[int, int]   # length -> copies in one sequence
 
 
-def _best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """Configuration of largest value: unbounded knapsack over the capacity."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest value of every capacity, and the length taken there (-1: none): unbounded knapsack."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    # Longest first, as argmax gives ties to the first.
+    lengths, prices = lengths[::-1], prices[::-1]
+    fitting = len(lengths) - np.searchsorted(lengths[::-1], np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
         k = fitting[c]
         best[c] = best[c - 1]
-        if k:
-            values = best[c - lengths[:k]] + prices[:k]
+        if k < len(lengths):
+            values = best[c - lengths[k:]] + prices[k:]
             j = int(values.argmax())
             if values[j] > best[c]:
-                best[c], taken[c] = values[j], j
-    chosen: dict[int, int] = {}
-    c = capacity
+                best[c], taken[c] = values[j], lengths[k + j]
+    return best, taken
+
+
+def _configuration(first: int, taken: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration of largest value among those that hold ``first``."""
+    chosen = {first: 1}
+    c = capacity - first
     while c > 0:
-        j = taken[c]
-        if j < 0:
+        x = int(taken[c])
+        if x < 0:
             c -= 1
             continue
-        chosen[int(lengths[j])] = chosen.get(int(lengths[j]), 0) + 1
-        c -= int(lengths[j])
+        chosen[x] = chosen.get(x, 0) + 1
+        c -= x
     return chosen
 
 
-def fractional_uses(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[float, dict[int, int]]]:
-    """Uses of configurations by multiplicative weights; no length is covered beyond its count."""
+def lp_bound(histogram: dict[int, int], capacity: int) -> float:
+    """Sequences that no solution of the linear program goes below, from two sets of dual prices."""
     lengths = np.array(sorted(histogram))
     counts = np.array([histogram[x] for x in lengths], float)
-    covered = np.zeros(len(lengths))
-    at = {int(x): i for i, x in enumerate(lengths)}
-    uses = []
-    for _ in range(rounds):
-        # A length that is covered but for less than one piece has nothing left to round down to.
-        open_ = counts - covered >= 1
+    # Lengths as prices; and half a sequence for each piece, a whole one beyond half the capacity.
+    duals = [lengths.astype(float), np.where(2 * lengths > capacity, 1.0, np.where(2 * lengths == capacity, 0.5, 0.0))]
+    return max(float(p @ counts) / max(_knapsack(lengths, p, capacity)[0][-1], 1e-300) for p in duals)
+
+
+def whole_uses(histogram: dict[int, int], capacity: int, rounds: int | None = None) -> list[tuple[int, dict[int, int]]]:
+    """Uses of configurations by multiplicative weights, until no length is left or ``rounds`` have run."""
+    lengths = np.array(sorted(histogram))
+    counts = np.array([histogram[x] for x in lengths], np.int64)
+    left = dict(zip(lengths.tolist(), counts.tolist()))
+    start = lengths * (1 + TILT * lengths / capacity)
+    uses, number = [], 0
+    while rounds is None or number < rounds:
+        number += 1
+        need = np.array([left[x] for x in lengths.tolist()])
+        open_ = need > 0
         if not open_.any():
             break
-        shares = covered / counts
-        prices = np.where(open_, lengths * np.exp(-ETA * (shares - shares[open_].min())), 0.0)
-        # Counts bound how often a scarce length can stand in one configuration.
-        chosen = _best_configuration(lengths[open_], prices[open_], capacity)
-        chosen = {x: min(k, int(counts[at[x]] - covered[at[x]])) for x, k in chosen.items()}
-        room = min((counts[at[x]] - covered[at[x]]) / k for x, k in chosen.items())
-        use = STEP * room
-        for x, k in chosen.items():
-            covered[at[x]] += k * use
-        uses.append((use, chosen))
+        shares = 1 - need / counts
+        prices = start * np.exp(-ETA * (shares - shares[open_].min()))
+        price = dict(zip(lengths.tolist(), prices.tolist()))
+        best, taken = _knapsack(lengths[open_], prices[open_], capacity)
+        # Every open length has a configuration of its own under these prices.
+        used = False
+        for x in lengths[open_][::-1].tolist():
+            if not left[x]:
+                continue
+            promised = _configuration(x, taken, capacity)
+            chosen = {y: k for y, n in promised.items() if (k := min(n, left[y]))}
+            value = sum(price[y] * k for y, k in chosen.items())
+            # What this round has used up is priced again first, except for one use a round.
+            if used and value < FULL * (price[x] + best[capacity - x]):
+                continue
+            if not used:
+                chosen = _topped_up(chosen, left, capacity)
+            room = min(left[y] // k for y, k in chosen.items())
+            use = max(1, math.floor(STEP * room))
+            for y, k in chosen.items():
+                left[y] -= k * use
+            uses.append((use, chosen))
+            used = True
     return uses
 
 
+def _topped_up(chosen: dict[int, int], left: dict[int, int], capacity: int) -> dict[int, int]:
+    """The configuration with the longest pieces that still fit."""
+    chosen = dict(chosen)
+    space = capacity - sum(x * k for x, k in chosen.items())
+    for x in sorted(left, reverse=True):
+        k = min(space // x, left[x] - chosen.get(x, 0))
+        if k > 0:
+            chosen[x] = chosen.get(x, 0) + k
+            space -= k * x
+    return chosen
+
+
 def _filled(left: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns for what is left: the longest piece first, then always the longest that fits."""
     left = {x: n for x, n in left.items() if n > 0}
@@ -119,18 +163,17 @@ def _filled(left: dict[int, int], capacity: int) -> list[Pattern]:
     return patterns
 
 
-def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
+def patterns_for(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[Pattern]:
     """Patterns that together use every piece of the histogram exactly once."""
     full = [Pattern(histogram[capacity], {capacity: 1})] if histogram.get(capacity) else []
     rest = {x: n for x, n in histogram.items() if x < capacity}
     if not rest:
         return full
-    rounded: dict[tuple, int] = {}
-    for use, chosen in fractional_uses(rest, capacity, rounds):
-        if int(use):
-            key = tuple(sorted(chosen.items(), reverse=True))
-            rounded[key] = rounded.get(key, 0) + int(use)
-    kept = [Pattern(n, dict(key)) for key, n in rounded.items()]
+    merged: dict[tuple, int] = {}
+    for use, chosen in whole_uses(rest, capacity, rounds):
+        key = tuple(sorted(chosen.items(), reverse=True))
+        merged[key] = merged.get(key, 0) + use
+    kept = [Pattern(n, dict(key)) for key, n in merged.items()]
     left = dict(rest)
     for p in kept:
         for x, k in p.lengths.items():
@@ -219,7 +262,7 @@ def _numbered(pieces: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces."""
     spark = pieces.sparkSession
     # At most ``capacity`` rows.
@@ -229,7 +272,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, bu
     slots = spark.createDataFrame(rows, schema).groupBy("length").agg(
         F.sort_array(F.collect_list(F.struct("first_rank", "copies", "first_sequence", "at"))).alias("_slots")
     )
-    # One row per length; the number of patterns is bounded by the rounds and the capacity.
+    # One row per length; every use halves the need of a length, so patterns are bounded by the capacity and the logarithm of the counts.
     found = _numbered(pieces, buckets).join(F.broadcast(slots), "length")
     slot = F.element_at(F.filter("_slots", lambda s: s["first_rank"] <= F.col("_rank")), -1)
     inside = found.withColumn("_slot", slot).withColumn("_k", F.col("_rank") - F.col("_slot.first_rank"))

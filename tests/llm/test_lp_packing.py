@@ -60,3 +60,16 @@ def test_patterns_use_every_piece_once(histogram):
     total, large = sum(x * n for x, n in histogram.items()), sum(n for x, n in histogram.items() if x > 32)
     # First fit decreasing never needs more than 11/9 of the best; a best needs at least these.
     assert sum(p.times for p in patterns) <= max(total / 64, large) * 1.5 + len(histogram)
+
+
+def test_pricing_packs_every_piece_close_to_the_bound():
+    drawn = np.random.default_rng(1).lognormal(5.5, 1.2, 30_000).astype(int) % lp.CAPACITY + 1
+    histogram = dict(Counter(drawn[drawn < lp.CAPACITY].tolist()))
+    placed = Counter()
+    for use, chosen in lp.whole_uses(histogram, lp.CAPACITY):
+        for x, k in chosen.items():
+            placed[x] += k * use
+    assert placed == Counter(histogram)
+    assert sum(p.times for p in lp.patterns_for(histogram)) <= 1.001 * lp.lp_bound(histogram, lp.CAPACITY) + 1
+    # Pieces of just over a third: no sequence is full.
+    assert sum(p.times for p in lp.patterns_for({700: 1000, 1100: 500})) == 750
