@@ -41,10 +41,11 @@ from casewright.llm.shingling import SLICE_BYTES, mix, shingle_sets, word_hashes
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 4, 5     # the threshold, 0.8
-RATE = 2.0                        # shingles that a set chooses in a run, and under a split bucket
+RATE = 2.0                        # shingles that a set chooses in a run
+SPLIT_RATE = 4.0                  # and under a split bucket, so that a pair with large buckets only still has RECALL
 RECALL = 0.99999                  # probability with which a pair at the threshold meets
 LIMIT = 1024                      # sets of a bucket that one task compares
-LEAST_SHARED = 0.3                # share of its keys that a pair must have in common to be compared
+LEAST_SHARED = 0.2                # share of its keys that a pair must have in common to be compared
 BROADCAST_ROWS = 2_000_000        # ids sent to every task at most; more are joined by shuffle
 
 
@@ -95,7 +96,9 @@ def chosen_keys(sets: list[np.ndarray], runs: int, rate: float = RATE) -> tuple[
     cuts = np.searchsorted(owners[order], np.arange(len(sets) + 1))
     first = [keys[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:])]
     second, parents = [], []
-    for s, k, top in zip(sets, first, least):
+    deep = np.where(sizes > SPLIT_RATE, np.minimum(SPLIT_RATE / np.maximum(sizes, 1) * 2.0**64, 2.0**64 - 2048), 0).astype(np.uint64)
+    deep[sizes <= SPLIT_RATE] = np.uint64(2**64 - 1)
+    for s, k, top in zip(sets, first, deep):
         hashed = mix(s[None, :] ^ k[:, None])
         row, column = np.nonzero(hashed <= top)
         second.append(mix(hashed[row, column] + np.uint64(1)))
@@ -146,10 +149,10 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
         ),
         "jaccard-places",
     )
-    # Large buckets matter to a set only if they are most of its keys: a similar set shares the others as well.
-    placed = reps.join(by_set, "_row").withColumn("_split", F.size("_large") * 2 > F.size("_keys"))
+    # No large bucket is left out: what a pair shares may be in large ones alone.
+    placed = reps.join(by_set, "_row")
     under = F.filter("_under", lambda _, i: F.array_contains("_large", F.element_at("_parent", i + 1)))
-    split = placed.select("_row", F.explode(F.when(F.col("_split"), under).otherwise(F.array().cast("array<bigint>"))).alias("_key"))
+    split = placed.select("_row", F.explode(under).alias("_key"))
     split_sizes = _sizes(split, "jaccard-split-buckets")
     split_met = split.join(split_sizes, "_key").withColumn("_blocks", F.ceil(F.col("_size") / LIMIT).cast("int"))
     deeper = split_met.groupBy("_row").agg(F.collect_list(F.struct("_key", "_blocks")).alias("_deep"))

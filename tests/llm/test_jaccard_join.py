@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from casewright.llm import jaccard_join as jj
@@ -88,3 +89,38 @@ def test_empty_and_runs(spark, tmp_path):
     docs = table(spark, tmp_path, [])
     assert jj.joined(docs).count() == 0 and jj.deduplicated(docs).count() == 0
     assert jj.runs_for(0.999) < jj.runs_for(0.99999)
+
+
+def test_pairs_of_a_shared_passage_and_a_tail(spark, tmp_path, monkeypatch):
+    """Most of a text is a passage that many share, its near copy has a tail of its own, J = 0.8."""
+    monkeypatch.setattr(jj, "LIMIT", 16)
+    r = random.Random(3)
+    word = lambda: "w" + str(r.randrange(10**9))
+    rows = []
+    for _ in range(12):
+        passage = [word() for _ in range(54)]
+        for _ in range(40):
+            first = [*passage, *[word() for _ in range(50)]]
+            rows += [first, [*first, *[word() for _ in range(25)]]]
+    rows = list(enumerate(map(" ".join, rows)))
+    assert {len(shingles(rows[0][1])), len(shingles(rows[1][1]))} == {100, 125}
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jj.joined(table(spark, tmp_path, rows)).collect()}
+    assert got == plain(rows) and {n for _, n in got.values()} == {1}
+
+
+def test_buckets_of_a_pair_with_large_buckets(spark, monkeypatch):
+    """Keys in large buckets are split for every set, whatever their share of its keys."""
+    monkeypatch.setattr(jj, "LIMIT", 16)
+    # Sets 0 and 1 share one key of four, which 20 sets have, and one key under it.
+    rows = [(i, 10, 1, [7, 100 + 3 * i, 101 + 3 * i, 102 + 3 * i], [50 if i < 2 else 1000 + i], [0]) for i in range(20)]
+    reps = spark.createDataFrame(rows, "_row bigint, _n int, _copies bigint, _keys array<bigint>, _under array<bigint>, _parent array<bigint>")
+    assert {(x["_key"], x["_row"]) for x in jj.bucket_rows(reps).collect()} == {(50, 0), (50, 1)}
+
+
+def test_recall_with_large_buckets_only():
+    """Drawn key counts of a pair at the threshold whose shared keys are all in large buckets."""
+    rng, n, runs = np.random.default_rng(5), 4_000_000, jj.runs_for()
+    shared, a, b = rng.poisson(runs * jj.RATE * 0.8, n), rng.poisson(runs * jj.RATE * 0.2, n), rng.poisson(runs * jj.RATE * 0.2, n)
+    met = rng.poisson(shared * jj.SPLIT_RATE * 0.8) > 0
+    compared = shared >= np.maximum(1, jj.LEAST_SHARED * (shared + np.minimum(a, b)))
+    assert (~(met & compared)).mean() < 1e-5
