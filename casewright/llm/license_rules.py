@@ -1,9 +1,10 @@
 """License scan: ordered signature rules.
 
 A rule is a regular expression over the lower-cased words of a text, joined by single
-blanks. Rules are written out from the table ``LICENSES``: for each license its names and
-the sentences in which licenses are granted or referred to. The plain part of a name must occur
-in the text before its rules are tried, and a license word before any name.
+blanks. Rules are written out from the tables ``LICENSES`` and ``SPDX``: for each license its
+names, the sentences in which licenses are granted or referred to, and its short identifiers.
+The plain part of a name must occur before its rules are tried; the gate, made of the same plain
+parts with anything that separates words between them, spares other texts the splitting.
 
 Rules are ordered by priority. A match that lies inside a match of a better rule, or of an
 equally good longer one, is suppressed: "GNU Lesser General Public License" is not a GPL.
@@ -82,6 +83,20 @@ LICENSES = [
     ("proprietary", ["all rights reserved"]),
 ]
 
+# label, short identifiers without their version, as regular expressions over words.
+SPDX = [
+    ("mit", ["mit", "x11"]), ("apache", ["apache"]), ("lgpl", ["lgpl"]), ("agpl", ["agpl"]), ("gpl", ["gpl"]), ("fdl", ["gfdl"]),
+    ("bsd", ["0bsd", "bsd [1234] clause"]), ("mpl", ["mpl"]), ("epl", ["epl"]), ("cddl", ["cddl"]), ("cpl", ["cpl"]),
+    ("isc", ["isc"]), ("zlib", ["zlib"]), ("boost", ["bsl"]), ("unlicense", ["unlicense"]), ("wtfpl", ["wtfpl"]),
+    ("artistic", ["artistic"]), ("python", ["python", "psf"]), ("ruby", ["ruby"]), ("php", ["php"]),
+    ("postgresql", ["postgresql"]), ("openssl", ["openssl"]), ("ofl", ["ofl"]), ("eupl", ["eupl"]), ("ms-pl", ["ms pl"]),
+    ("ms-rl", ["ms rl"]), ("apsl", ["apsl"]), ("ibm-pl", ["ipl"]), ("lppl", ["lppl"]), ("afl", ["afl"]), ("osl", ["osl"]),
+    ("ncsa", ["ncsa"]), ("upl", ["upl"]), ("mulan", ["mulanpsl"]), ("bsl", ["busl"]), ("sspl", ["sspl"]),
+    ("elastic", ["elastic"]), ("odbl", ["odbl"]), ("odc-by", ["odc by"]), ("pddl", ["pddl"]), ("cc0", ["cc0"]),
+    ("cc-by-nc-nd", ["cc by nc nd"]), ("cc-by-nc-sa", ["cc by nc sa"]), ("cc-by-nc", ["cc by nc"]), ("cc-by-nd", ["cc by nd"]),
+    ("cc-by-sa", ["cc by sa"]), ("cc-by", ["cc by"]),
+]
+
 _VERSION = r"(?: (?:international|unported))?(?: (?:version|v|ver))? ?[0-9]+(?: [0-9]+){0,2}(?: (?:only|or later|or any later version))?"
 # priority (smaller is better), confidence, frame around the name.
 FRAMES = [
@@ -92,16 +107,18 @@ FRAMES = [
     (4, 0.6, r"(?:see|read|accept|copy of) the {name}"),
     (5, 0.5, r"{name}"),
 ]
-GATE = r"(?i)licen[sc]e|gnu|creative commons|cc0|cc.by|rights reserved|spdx|unlicense|commons clause"
-
 def keyword(name: str) -> str:
     """The longest plain part of a name: a text without it cannot match."""
     return max(re.findall(r"[a-z0-9 ]+", name), key=len).strip()
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """``(label, keyword, priority, confidence, pattern)``, a few hundred, best first."""
-    return [
+    """``(label, keyword, priority, confidence, pattern)``, a few hundred."""
+    tag = "spdx license identifier"
+    short = [
+        (label, tag, 2, 0.9, rf"(?<= ){tag} {name}(?:{_VERSION})?(?= )") for label, names in SPDX for name in names
+    ]
+    return short + [
         (label, keyword(name), priority, confidence, rf"(?<= ){frame.format(name=name, version=_VERSION)}(?= )")
         for priority, confidence, frame in FRAMES
         for label, names in LICENSES
@@ -109,6 +126,17 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     ]
 
 
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def gate() -> str:
+    """A text that any rule or base phrase matches has one of these, whatever stands between its words."""
+    # Nearly all keywords hold a part of "license"; of the others the shortest stand for those that hold them.
+    plain = {"licen" if "licen" in k else k for k in [*(r[1] for r in rules()), *BASE]}
+    least = sorted(k for k in plain if not any(o != k and o in k for o in plain))
+    return "(?i)" + "|".join(k.replace(" ", SEPARATORS) for k in least)
+
+
 def _rule_array() -> Column:
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     cells = ", ".join(
@@ -238,7 +266,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
         return let(_places(words), told)
 
-    found = F.when(text.rlike(GATE), let(license_words(text), result)).otherwise(nothing)
+    found = F.when(text.rlike(gate()), let(license_words(text), result)).otherwise(nothing)
     rows = docs.select("doc_id", text_of("text").alias("_text"))
     counted = rows.select(
         "doc_id", F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("bigint").alias("n_words"), F.explode(F.array(found)).alias("_f")

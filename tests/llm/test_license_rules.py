@@ -60,3 +60,23 @@ def test_suppression_and_labels(spark):
 def test_table_and_empty(spark):
     assert lr.check_rules() >= 200
     assert lr.scanned(frame(spark, [])).count() == 0
+
+
+def test_each_name_alone_and_wrapped(spark):
+    """Every name has its label, also in capitals, over two lines, or with marks between its words."""
+    names = [(label, re.sub(r"\[(.)[^]]*\]", r"\1", n)) for label, group in lr.LICENSES for n in group]
+    cases = [(label, n.replace(" ", gap)) for label, n in names for gap in (" ", "\n", "-", ") (", "_")]
+    cases += [(label, n.upper()) for label, n in names]
+    rows = {r["doc_id"]: r for r in lr.scanned(frame(spark, [t for _, t in cases])).collect()}
+    missed = [c for i, c in enumerate(cases) if c[0] not in rows[i]["labels"].split(",") or not rows[i]["n_matches"]]
+    assert not missed
+
+
+def test_short_identifiers(spark):
+    tags = {
+        "MIT": "mit", "Apache-2.0": "apache", "GPL-2.0-only": "gpl", "LGPL-2.1-or-later": "lgpl", "BSD-3-Clause": "bsd",
+        "CC-BY-SA-4.0": "cc-by-sa", "BSL-1.0": "boost", "BUSL-1.1": "bsl", "CC0-1.0": "cc0", "MulanPSL-2.0": "mulan",
+    }
+    rows = {r["doc_id"]: r for r in lr.scanned(frame(spark, [f"// SPDX-License-Identifier: {t}\nint x;" for t in tags])).collect()}
+    assert [rows[i]["labels"] for i in range(len(tags))] == list(tags.values())
+    assert {r["score"] for r in rows.values()} == {0.9}
