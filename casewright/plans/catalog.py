@@ -820,14 +820,9 @@ def outcome_leak_terms(spark, d):
 
 # --- models ----------------------------------------------------------------
 
-# Small settings for the tree models: the full ones (500 trees, 500 rounds) are
-# the defaults of the functions and take far longer than a check should.
-_TREES = {"trees": 20, "depth": 8, "rounds": 5, "boost_depth": 3}
-
-
 def _model_query(spark: SparkSession, d: str, name: str) -> DataFrame:
     data = baseline.vectors(_fitted(spark, d))
-    fitted = baseline.train_models(data, **_TREES, names=(name,))
+    fitted = baseline.train_models(data, names=(name,))
     test = data.filter(F.col("split") == "test")
     out = models.predict(fitted[name], test, name, "filename")
     return out.select("model", "filename", "actual", "predicted", *[r6(f"p_{i}") for i in range(4)])
@@ -877,7 +872,7 @@ def boosted_trees(spark, d):
 def _forest_importance(spark: SparkSession, d: str) -> DataFrame:
     fitted = _fitted(spark, d)
     train = baseline.vectors(fitted).filter(F.col("split") == "train")
-    forest = models.random_forest(train, _TREES["trees"], _TREES["depth"])
+    forest = models.random_forest(train)
     return models.feature_importance(forest, fitted.vocabulary)
 
 
