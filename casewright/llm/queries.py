@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm import (
     compression_classifier,
+    exact_dedup,
     jaccard_join,
     license_rules,
     lp_packing,
@@ -86,3 +87,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nn_descent.nearest(vectors, vectors.filter(vectors.vec_id % 20 == 0))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("in_history")
+
+
+ORACLES["op13_exact_dedup"] = exact_dedup.ORACLE
