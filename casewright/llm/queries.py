@@ -13,6 +13,8 @@ from casewright.llm import (
     license_rules,
     lp_packing,
     nn_descent,
+    periodic_runs,
+    prefix_trie,
     quality_rules,
     secret_links,
     source_mixing,
@@ -95,3 +97,16 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_exact_dedup"] = exact_dedup.ORACLE
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
