@@ -161,11 +161,18 @@ def test_failed_forced_run_leaves_the_step_open(spark, tmp_path):
     assert tb.materialize("s", build, *args).count() == 5
 
 
-def test_file_too_large_is_present(spark):
-    files = spark.createDataFrame([("a", None), ("b", bytearray(b"x"))], "filename string, content binary")
-    expected = spark.createDataFrame([("a",), ("b",), ("c",)], "filename string")
-    hashes = tb.file_hashes(files, expected)
-    found = {r["filename"]: r["sha256"] for r in hashes.collect()}
-    assert found["a"] == "TOO_LARGE" and found["c"] == "NOT_FOUND" and len(found["b"]) == 64
-    checked = tb.integrity_check(hashes.withColumn("sha256", F.lit("0")), hashes)
-    assert {r["filename"]: r["status"] for r in checked.collect()} == {"a": "TOO_LARGE", "b": "MISMATCH", "c": "MISSING"}
+@pytest.mark.parametrize("longest", [0, 10, 10**9])
+def test_long_files_are_streamed(spark, tmp_path, longest):
+    """Hashes do not depend on the size from which files are read piece by piece."""
+    import hashlib
+
+    folder = tmp_path / "with space%20"
+    folder.mkdir()
+    files = {"a.md": b"a", "b.md": b"x" * 10, "c.md": bytes(range(256)) * 4000, "é 1.md": b"y" * 11}
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    found = tb.hash_files(src.scan_files(spark, str(folder)), longest, piece=1000)
+    assert {r["filename"]: r["sha256"] for r in found.collect()} == {n: hashlib.sha256(d).hexdigest() for n, d in files.items()}
+    expected = spark.createDataFrame([(n,) for n in [*files, "gone.md"]], "filename string")
+    checked = tb.integrity_check(found, tb.file_hashes(found, expected))
+    assert {r["filename"]: r["status"] for r in checked.collect()} == {n: "OK" for n in files} | {"gone.md": "UNEXPECTED"}
