@@ -18,39 +18,40 @@ from pyspark.sql import functions as F
 
 from casewright.functions.rows import struct_rows
 from casewright.operators.features import BROADCAST_ROWS
+from casewright.sources.storage import written
 
 
 def complement_coefficients(
-    train_weights: DataFrame,
+    train_entries: DataFrame,
     vocabulary: DataFrame,
     n_train: Column,
     alpha: float = 0.5,
     label: str = "label",
     classes: Sequence[str] = (),
 ) -> DataFrame:
-    """``(class, term, coef, mean_weight)`` of complement naive Bayes, in closed form.
+    """``(class, index, term, coef, mean_weight)`` of complement naive Bayes, in closed form.
 
     One aggregate over the training weights gives the sums per class, from
     which follow the coefficients and the mean of every term.
     """
-    sums = train_weights.groupBy("term").pivot(label, list(classes)).agg(F.sum("weight"))
-    filled = vocabulary.select("term").join(sums, "term", "left")
+    sums = train_entries.groupBy("index").pivot(label, list(classes)).agg(F.sum("weight"))
+    filled = vocabulary.select("index", "term").join(sums, "index", "left")
     by_class = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in classes]
     total = reduce(add, by_class)
     rows = struct_rows(
         ["class", "rest", "mean_weight"],
         *[[F.lit(c), total - s + alpha, total / n_train] for c, s in zip(classes, by_class)],
     )
-    long = filled.select("term", F.inline(rows))
+    long = filled.select("index", "term", F.inline(rows))
     # One row per class: a window would put a class's whole vocabulary in one task.
     whole = long.groupBy("class").agg(F.sum("rest").alias("whole"))
     return long.join(F.broadcast(whole), "class").select(
-        "class", "term", (-F.ln(F.col("rest") / F.col("whole"))).alias("coef"), "mean_weight"
+        "class", "index", "term", (-F.ln(F.col("rest") / F.col("whole"))).alias("coef"), "mean_weight"
     )
 
 
 def linear_contributions(
-    weights: DataFrame, coefficients: DataFrame, key: str, size: int
+    entries: DataFrame, coefficients: DataFrame, key: str, size: int
 ) -> DataFrame:
     """``(key, class, term, contribution, present)`` for the terms of each document.
 
@@ -59,7 +60,7 @@ def linear_contributions(
     ``coefficients``, which decides whether they are broadcast.
     """
     table = F.broadcast(coefficients) if size <= BROADCAST_ROWS else coefficients
-    return weights.join(table, "term").select(
+    return entries.join(table, "index").select(
         key,
         "class",
         "term",
@@ -68,6 +69,45 @@ def linear_contributions(
     )
 
 
+def strongest_in_rows(
+    rows: DataFrame, coefficients: DataFrame, vocabulary: DataFrame, key: str, classes: Sequence[str], limit: int = 20, digits: int = 6
+) -> DataFrame:
+    """``(key, class, rank, term, contribution)``: the largest rounded contributions by absolute value.
+
+    The model is one row of arrays by term number, at most the vocabulary's length for each
+    class, and every document ranks its own terms, so nothing but the result moves. Equal ones
+    go by the term's number, which is alphabetical.
+    """
+    named = F.array_sort(F.collect_list(F.struct("index", "coef", "mean_weight")))
+    arrays = coefficients.groupBy("class").agg(named.alias("m"))
+    columns = [F.max(F.when(F.col("class") == c, F.col("m"))).alias(f"_m{i}") for i, c in enumerate(classes)]
+    model = arrays.agg(*columns).select(
+        F.lit(1).alias("_one"),
+        *[F.transform(f"_m{i}", lambda e: e["coef"]).alias(f"_coef{i}") for i in range(len(classes))],
+        F.transform("_m0", lambda e: e["mean_weight"]).alias("_mean"),
+    )
+    v = F.unwrap_udt("features")
+    met = rows.select(key, F.arrays_zip(v["indices"].alias("index"), v["values"].alias("weight")).alias("_e"), F.lit(1).alias("_one")).join(
+        F.broadcast(written(model, "linear-model")), "_one"
+    )
+
+    def best(i: int) -> Column:
+        def one(e: Column) -> Column:
+            value = F.get(F.col(f"_coef{i}"), e["index"]) * (e["weight"] - F.get(F.col("_mean"), e["index"]))
+            return F.struct(e["index"].alias("index"), F.round(value, digits).alias("contribution"))
+
+        told = F.transform("_e", one)
+        ordered = F.array_sort(F.transform(told, lambda c: F.struct((-F.abs(c["contribution"])).alias("by"), c["index"].alias("index"), c["contribution"].alias("contribution"))))
+        return F.transform(
+            F.slice(ordered, 1, limit),
+            lambda c, at: F.struct(F.lit(classes[i]).alias("class"), (at + 1).alias("rank"), c["index"].alias("index"), c["contribution"].alias("contribution")),
+        )
+
+    ranked = met.select(key, F.inline(F.concat(*[best(i) for i in range(len(classes))])))
+    names = vocabulary.select("index", "term")
+    return ranked.join(names, "index").select(key, "class", "rank", "term", "contribution")
+
+
 def base_scores(coefficients: DataFrame) -> DataFrame:
     """Score of the mean document per class, without the intercept."""
     return coefficients.groupBy("class").agg(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ def term_counts(docs: DataFrame, groups: Sequence[str], terms: str = "terms") ->
     )
 
 
-def doc_term_counts(docs: DataFrame, keep: Sequence[str], terms: str = "terms") -> DataFrame:
-    """``(keep..., term, tf)``, counted inside each row without a shuffle."""
+def doc_term_arrays(docs: DataFrame, keep: Sequence[str], terms: str = "terms") -> DataFrame:
+    """``(keep..., entries)``: the distinct terms of each row with ``tf``, in order, without a shuffle."""
     ordered = F.col("_terms")
     starts = F.filter(
         F.transform(ordered, lambda _, i: i),
@@ -58,10 +61,15 @@ def doc_term_counts(docs: DataFrame, keep: Sequence[str], terms: str = "terms")
     return (
         docs.select(*keep, F.sort_array(terms).alias("_terms"))
         .select(*keep, "_terms", starts.alias("_starts"))
-        .select(*keep, F.inline(runs))
+        .select(*keep, runs.alias("entries"))
     )
 
 
+def doc_term_counts(docs: DataFrame, keep: Sequence[str], terms: str = "terms") -> DataFrame:
+    """``(keep..., term, tf)``, counted inside each row without a shuffle."""
+    return doc_term_arrays(docs, keep, terms).select(*keep, F.inline("entries"))
+
+
 def top_terms(
     counts: DataFrame, groups: Sequence[str], by: str, limit: int, term: str = "term"
 ) -> DataFrame:
@@ -142,11 +150,84 @@ def tfidf_transform(
     return weighted.withColumn("weight", F.col("_raw") / norm).drop("_raw", "count", "df", "idf")
 
 
-def class_mean_tfidf(weights: DataFrame, class_sizes: DataFrame, label: str = "label") -> DataFrame:
+VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def tfidf_rows(doc_terms: DataFrame, vocabulary: DataFrame, keep: Sequence[str], n_terms: int) -> DataFrame:
+    """``(keep..., features)``: the weights of ``tfidf_transform`` as one sparse vector per row.
+
+    ``doc_terms`` holds ``(keep..., entries)``. Terms are looked up in batches and the norm is
+    taken inside the row, so no row moves. The vocabulary goes to every task; beyond
+    ``BROADCAST_ROWS`` terms it is joined by term, and the rows are collected by key.
+    """
+    keep = list(keep)
+    if n_terms > BROADCAST_ROWS:
+        return _joined_rows(doc_terms, vocabulary, keep, n_terms)
+    known = vocabulary.select("index", "term", "idf").orderBy("index").toArrow().combine_chunks()
+    terms = known["term"].combine_chunks() if known.num_rows else pa.array([], pa.string())
+    idf = known["idf"].to_numpy()
+    # By the term alone, whatever else the entries hold.
+    rows = doc_terms.select(*keep, F.transform("entries", lambda e: e["term"]).alias("_t"), F.transform("entries", lambda e: e["tf"]).alias("_f"))
+    schema = ", ".join([f"`{c}` {doc_terms.schema[c].dataType.simpleString()}" for c in keep] + [f"features {VECTOR}"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *kept, lists, counts = batch.columns
+            n = batch.num_rows
+            index = pc.index_in(lists.flatten(), value_set=terms)
+            found = index.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), lists.value_lengths().to_numpy())[found]
+            at = index.filter(pa.array(found)).to_numpy()
+            raw = (1 + np.log(counts.flatten().to_numpy()[found])) * idf[at]
+            order = np.lexsort((at, row))
+            row, at, raw = row[order], at[order], raw[order]
+            norm = np.sqrt(np.bincount(row, raw * raw, minlength=n))
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), pa.int32())
+            vector = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.zeros(n), pa.int8()), pa.array(np.full(n, n_terms), pa.int32()),
+                    pa.ListArray.from_arrays(bounds, pa.array(at, pa.int32())), pa.ListArray.from_arrays(bounds, pa.array(raw / norm[row])),
+                ],
+                ["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([*kept, vector], [*keep, "features"])
+
+    return rows.mapInArrow(weigh, schema)
+
+
+def _joined_rows(doc_terms: DataFrame, vocabulary: DataFrame, keep: list[str], n_terms: int) -> DataFrame:
+    """The same by joins, for a vocabulary that is not sent to every task; ``keep[0]`` is the key."""
+    key = keep[0]
+    weights = tfidf_transform(doc_terms.select(key, F.inline("entries")), vocabulary, key, n_terms)
+    entries = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_e"))
+    none = F.array().cast("array<struct<index: int, weight: double>>")
+    told = doc_terms.select(*keep).join(entries, key, "left").withColumn("_e", F.coalesce("_e", none))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(n_terms).alias("size"),
+        F.transform("_e", lambda e: e["index"]).alias("indices"), F.transform("_e", lambda e: e["weight"]).alias("values"),
+    )
+    return told.select(*keep, vector.alias("features"))
+
+
+def vector_entries(rows: DataFrame, keep: Sequence[str], features: str = "features") -> DataFrame:
+    """``(keep..., index, weight)`` of sparse vectors."""
+    v = F.unwrap_udt(features)
+    return rows.select(*keep, F.inline(F.arrays_zip(v["indices"].alias("index"), v["values"].alias("weight"))))
+
+
+def with_terms(entries: DataFrame, vocabulary: DataFrame, n_terms: int) -> DataFrame:
+    """Add the ``term`` of each ``index``."""
+    names = vocabulary.select("index", "term")
+    return entries.join(F.broadcast(names) if n_terms <= BROADCAST_ROWS else names, "index")
+
+
+def class_mean_tfidf(
+    entries: DataFrame, class_sizes: DataFrame, vocabulary: DataFrame, n_terms: int, label: str = "label"
+) -> DataFrame:
     """Mean weight per class and term; documents without the term count as 0."""
-    sums = weights.groupBy(label, "term").agg(F.sum("weight").alias("total"))
+    sums = entries.groupBy(label, "index").agg(F.sum("weight").alias("total"))
     # One row per class.
-    return sums.join(F.broadcast(class_sizes), label).select(
+    return with_terms(sums, vocabulary, n_terms).join(F.broadcast(class_sizes), label).select(
         label, "term", "total", (F.col("total") / F.col("n")).alias("mean_weight")
     )
 

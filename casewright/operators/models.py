@@ -2,71 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     NaiveBayes,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewright import lexicons as lx
-from casewright.functions.labels import label_decode, label_encode
+from casewright.functions.labels import label_decode
+from casewright.operators import boosting
 from casewright.sources.storage import scratch_path
 
 
-def tfidf_vectors(
-    docs: DataFrame, weights: DataFrame, key: str, label: str, size: int, keep: Sequence[str] = ()
-) -> DataFrame:
-    """Documents with ``features`` (sparse) and ``label_index``, ready for pyspark.ml.
+def written_vectors(rows: DataFrame, name: str = "tfidf_vectors") -> DataFrame:
+    """Rows whose ``features`` have the layout of a sparse vector, written and read back as vectors.
 
-    ``weights`` holds ``(key, index, weight)``. Documents without a known term
-    get an empty vector. The table is written once: every model reads it many
-    times, and a lost executor then costs a re-read and no re-tokenising. It is
-    read back under the vector schema, which has the same layout, so no Python
-    function builds the vectors. A document has at most ``size`` entries.
+    Every model reads the table many times, and a lost executor then costs a re-read and no
+    re-tokenising.
     """
-    spark = docs.sparkSession
-    entries = weights.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("index", "weight"))).alias("_e")
-    )
-    none = F.array().cast("array<struct<index:int,weight:double>>")
-    entry = F.coalesce(F.col("_e").cast("array<struct<index:int,weight:double>>"), none)
-    columns = [key, *keep, label]
-    struct = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        F.lit(size).alias("size"),
-        F.transform(F.col("_entry"), lambda e: e["index"]).alias("indices"),
-        F.transform(F.col("_entry"), lambda e: e["weight"]).alias("values"),
-    )
-    table = (
-        docs.select(*columns)
-        .join(entries, key, "left")
-        .select(*columns, entry.alias("_entry"))
-        .select(
-            *columns,
-            label_encode(F.col(label)).cast("double").alias("label_index"),
-            struct.alias("features"),
-        )
-    )
-    schema = T.StructType(
-        [
-            T.StructField(f.name, VectorUDT()) if f.name == "features" else f
-            for f in table.schema.fields
-        ]
-    )
-    path = scratch_path(spark, "tfidf_vectors")
-    table.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT()) if f.name == "features" else f for f in rows.schema.fields])
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def with_weights(df: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
@@ -112,41 +75,9 @@ def random_forest(train: DataFrame, trees: int = 500, depth: int = 30, seed: int
     ).fit(train)
 
 
-def boosted_trees(train: DataFrame, rounds: int = 500, rate: float = 0.05, depth: int = 6, seed: int = lx.SEED):
-    """One boosted model per class against the rest."""
-    base = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
-    return OneVsRest(
-        classifier=base,
-        featuresCol="features",
-        labelCol="label_index",
-        weightCol="weight",
-        parallelism=len(lx.CLASSES),
-    ).fit(train)
-
-
-def embedding_svm(train: DataFrame, max_iter: int = 50, reg: float = 0.01, parallelism: int = 8):
-    """Linear support vector machines, one per class, as a probe of embeddings."""
-    return OneVsRest(
-        classifier=LinearSVC(maxIter=max_iter, regParam=reg),
-        featuresCol="features",
-        labelCol="label_index",
-        parallelism=parallelism,
-    ).fit(train)
-
-
-def margin_argmax(model, embedding: Column) -> Column:
-    """Class with the largest margin, from the weights of the per-class models."""
-    margins = F.array(
-        *[
-            F.aggregate(
-                F.zip_with(embedding, F.lit(m.coefficients.toArray().tolist()), lambda x, w: x * w),
-                F.lit(float(m.intercept)),
-                lambda total, x: total + x,
-            )
-            for m in model.models
-        ]
-    )
-    return (F.array_position(margins, F.array_max(margins)) - 1).cast("int")
+def boosted_trees(train: DataFrame, rounds: int = 500, rate: float = 0.05, depth: int = 6) -> boosting.BoostedTrees:
+    """One softmax over all classes, a tree per class and round."""
+    return boosting.fit(train, len(lx.CLASSES), rounds, rate, depth)
 
 
 def embedding_pca_2d(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
@@ -193,28 +124,21 @@ def majority_predictions(train: DataFrame, test: DataFrame, key: str, label: str
 
 
 def feature_importance(model, vocabulary: DataFrame) -> DataFrame:
-    """Tree importances by term, zero importances left out.
+    """Tree importances by term, zero importances left out; of a forest or of boosted trees.
 
     A model holds at most one value per vocabulary entry, so the list is as
     bounded as the vocabulary.
     """
     spark = vocabulary.sparkSession
-    importances = model.featureImportances
-    pairs = [(int(i), float(v)) for i, v in zip(importances.indices, importances.values)]
+    if isinstance(model, boosting.BoostedTrees):
+        pairs = sorted(model.importance().items())
+    else:
+        importances = model.featureImportances
+        pairs = [(int(i), float(v)) for i, v in zip(importances.indices, importances.values)]
     values = spark.createDataFrame(pairs, "index int, importance double")
     return vocabulary.select("index", "term").join(values, "index").select("term", "importance")
 
 
-def one_vs_rest_importance(model, vocabulary: DataFrame) -> DataFrame:
-    """Mean importance over the per-class models."""
-    parts = [feature_importance(m, vocabulary) for m in model.models]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    total = F.sum("importance") / len(parts)
-    return merged.groupBy("term").agg(total.alias("importance"))
-
-
 def top_features(importance: DataFrame, limit: int = 20) -> DataFrame:
     ordered = importance.orderBy(F.desc("importance"), F.asc("term")).limit(limit)
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("importance"), F.asc("term")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright import lexicons as lx
 from casewright.functions import terms as tm
+from casewright.functions.labels import label_encode
 from casewright.functions.text import fill_text
 from casewright.operators import attribution, features, joins, metrics, models, split
 from casewright.operators.ranking import seeded_hash
@@ -20,24 +21,28 @@ KEY = "filename"
 
 @dataclass
 class Features:
-    """Split documents with their term counts and vocabulary, all written tables."""
+    """Split documents, their vocabulary and one sparse vector each, all written tables."""
 
     docs: DataFrame          # key, label, split
-    counts: DataFrame        # key, label, split, term, tf
     vocabulary: DataFrame    # term, count, df, idf, index
+    rows: DataFrame          # key, label, split, label_index, features
     n_terms: int
     key: str
-    _weights: DataFrame | None = None
 
     def part(self, name: str) -> DataFrame:
         return self.docs.filter(F.col("split") == name)
 
+    def vectors(self, name: str | None = None) -> DataFrame:
+        """The vectors of one split or of all; the choice is made at the scan."""
+        return self.rows if name is None else self.rows.filter(F.col("split") == name)
+
+    def entries(self, name: str | None = None) -> DataFrame:
+        """``(key, label, split, index, weight)``."""
+        return features.vector_entries(self.vectors(name), [self.key, "label", "split"])
+
     def weights(self, name: str | None = None) -> DataFrame:
-        """TF-IDF weights of one split or of all; weighed once, the choice is made at the scan."""
-        if self._weights is None:
-            weighed = features.tfidf_transform(self.counts, self.vocabulary, self.key, self.n_terms)
-            self._weights = written(weighed, "tfidf_weights")
-        return self._weights if name is None else self._weights.filter(F.col("split") == name)
+        """``(key, label, split, index, weight, term)``."""
+        return features.with_terms(self.entries(name), self.vocabulary, self.n_terms)
 
 
 def split_documents(labelled: DataFrame, key: str = KEY) -> DataFrame:
@@ -75,37 +80,31 @@ def fit_features(
 ) -> Features:
     """Fit TF-IDF on the training rows and weigh all rows.
 
-    The split and the term counts per document are written once; vocabulary
-    and weights read them, and the texts are tokenised only once.
+    Texts are tokenised once: the split and the terms of each document, one row per document,
+    are written. The vocabulary reads them, and so do the vectors, in which terms are numbers.
     """
     docs = written(split_documents(labelled, key), "split_docs")
     texts = labelled.select(key, "label", tm.word_tokens(fill_text(F.col(text))).alias("_words"))
     grams = tm.ngram_range(F.col("_words"), 1, 2)
     placed = with_split(texts, split_bounds(docs, key), key)
     tokenised = placed.select(key, "label", "split", grams.alias("terms"))
-    counts = written(
-        features.doc_term_counts(tokenised, [key, "label", "split"]), "doc_term_counts"
-    )
-    train = counts.filter(F.col("split") == "train")
+    keep = [key, "label", "split"]
+    doc_terms = written(features.doc_term_arrays(tokenised, keep), "doc_terms")
+    train = doc_terms.filter(F.col("split") == "train").select(F.inline("entries"))
     per_term = train.groupBy("term").agg(F.sum("tf").alias("count"), F.count("*").alias("df"))
     n_train = docs.filter(F.col("split") == "train").agg(F.count("*")).scalar()
     vocabulary = written(
         features.with_index(features.tfidf_fit(per_term, n_train, min_df, max_features)), "vocabulary"
     )
-    return Features(docs, counts, vocabulary, vocabulary.count(), key)
+    n_terms = vocabulary.count()
+    rows = features.tfidf_rows(doc_terms, vocabulary, keep, n_terms)
+    numbered = rows.select(*keep, label_encode(F.col("label")).cast("double").alias("label_index"), "features")
+    return Features(docs, vocabulary, models.written_vectors(numbered), n_terms, key)
 
 
-def vectors(fitted: Features, key: str = KEY) -> DataFrame:
+def vectors(fitted: Features) -> DataFrame:
     """Model input with balanced class weights from the training rows."""
-    table = models.tfidf_vectors(
-        fitted.docs,
-        fitted.weights().select(key, "index", "weight"),
-        key,
-        "label",
-        fitted.n_terms,
-        keep=["split"],
-    )
-    return models.with_weights(table, split.class_weights(fitted.part("train")))
+    return models.with_weights(fitted.rows, split.class_weights(fitted.part("train")))
 
 
 def train_models(
@@ -189,15 +188,28 @@ def train_baseline(
     return {"predictions": predicted, "documents": wide, "metrics": judged, "best": best}
 
 
-def contributions(fitted: Features) -> tuple[DataFrame, DataFrame]:
-    """The complement naive Bayes model as a table, and its contributions on the test rows."""
+def coefficients(fitted: Features) -> DataFrame:
+    """The complement naive Bayes model as a written table."""
     n_train = fitted.part("train").agg(F.count("*")).scalar()
-    table = written(
-        attribution.complement_coefficients(
-            fitted.weights("train"), fitted.vocabulary, n_train, classes=tuple(lx.CLASSES)
-        ),
-        "coefficients",
-    )
+    table = attribution.complement_coefficients(fitted.entries("train"), fitted.vocabulary, n_train, classes=tuple(lx.CLASSES))
+    return written(table, "coefficients")
+
+
+def contributions(fitted: Features) -> tuple[DataFrame, DataFrame]:
+    """That table, and its contributions on the test rows."""
+    table = coefficients(fitted)
+    size = fitted.n_terms * len(lx.CLASSES)
+    return table, attribution.linear_contributions(fitted.entries("test"), table, fitted.key, size)
+
+
+def strongest_contributions(fitted: Features, limit: int = 20) -> DataFrame:
+    """``(key, class, rank, term, contribution)``: the strongest terms of every test document and class."""
+    table = coefficients(fitted)
     size = fitted.n_terms * len(lx.CLASSES)
-    rows = attribution.linear_contributions(fitted.weights("test"), table, fitted.key, size)
-    return table, rows
+    if size <= features.BROADCAST_ROWS:
+        return attribution.strongest_in_rows(fitted.vectors("test"), table, fitted.vocabulary, fitted.key, lx.CLASSES, limit)
+    # A model that is not sent to every task is joined by term.
+    rows = attribution.linear_contributions(fitted.entries("test"), table, fitted.key, size)
+    return attribution.strongest(rows.withColumn("contribution", F.round("contribution", 6)), fitted.key, limit).select(
+        fitted.key, "class", "rank", "term", "contribution"
+    )

@@ -17,7 +17,7 @@ from casewright.functions import lexicon as lc
 from casewright.functions import terms as tm
 from casewright.functions import text as tx
 from casewright.functions.rows import struct_rows
-from casewright.operators import attribution, curate, features, joins, metrics, models, near_dup, split, stats
+from casewright.operators import attribution, curate, features, joins, kernel, metrics, models, near_dup, split, stats
 from casewright.plans import baseline
 from casewright.plans.corpus import PILLARS, labelled_corpus, retained_label_distribution, with_labels
 from casewright.plans.overlay import overlay_corpus, overlay_filename, table
@@ -199,7 +199,7 @@ def snapshot_write(spark, d):
 
 @query
 def file_hashes(spark, d):
-    docs = overlay_corpus(spark, d).select("filename", F.col("text").cast("binary").alias("content"))
+    docs = overlay_corpus(spark, d).select("filename", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     # The customers of the order table ask for files; many have none.
     expected = table(spark, d, "customer").select(overlay_filename(F.col("c_custkey")).alias("filename"))
     return tb.file_hashes(docs, expected)
@@ -772,14 +772,16 @@ def tfidf_transform(spark, d):
 def class_mean_tfidf(spark, d):
     fitted = _fitted(spark, d)
     sizes = fitted.docs.groupBy("label").agg(F.count("*").alias("n"))
-    return features.class_mean_tfidf(fitted.weights(), sizes).select("label", "term", r6("mean_weight"))
+    means = features.class_mean_tfidf(fitted.entries(), sizes, fitted.vocabulary, fitted.n_terms)
+    return means.select("label", "term", r6("mean_weight"))
 
 
 @query
 def top_class_terms(spark, d):
     fitted = _fitted(spark, d)
     sizes = fitted.docs.groupBy("label").agg(F.count("*").alias("n"))
-    means = features.class_mean_tfidf(fitted.weights(), sizes).withColumn("mean_weight", F.round("mean_weight", 6))
+    means = features.class_mean_tfidf(fitted.entries(), sizes, fitted.vocabulary, fitted.n_terms)
+    means = means.withColumn("mean_weight", F.round("mean_weight", 6))
     return features.top_terms(means, ["label"], "mean_weight", 80).select("label", "rank", "term", "mean_weight")
 
 
@@ -787,10 +789,11 @@ def top_class_terms(spark, d):
 def class_term_sums(spark, d):
     fitted = _fitted(spark, d)
     sums = (
-        fitted.weights("train").filter(F.col("label") == "S")
-        .groupBy("term")
+        fitted.entries("train").filter(F.col("label") == "S")
+        .groupBy("index")
         .agg(F.round(F.sum("weight"), 6).alias("total"))
     )
+    sums = features.with_terms(sums, fitted.vocabulary, fitted.n_terms).select("term", "total")
     return sums.orderBy(F.desc("total"), F.asc("term")).limit(5)
 
 
@@ -800,10 +803,11 @@ def class_signal_check(spark, d):
     fitted = _fitted(spark, d)
     train = fitted.part("train")
     sums = (
-        fitted.weights("train")
-        .groupBy("label", "term")
+        fitted.entries("train")
+        .groupBy("label", "index")
         .agg(F.round(F.sum("weight"), 6).alias("total"))
     )
+    sums = features.with_terms(sums, fitted.vocabulary, fitted.n_terms).drop("index")
     top = features.top_terms(sums, ["label"], "total", 5)
     flags = stats.skew_flags(train).select("label", F.col("n").alias("n_train"), "is_low_signal")
     return top.join(F.broadcast(flags), "label").select(
@@ -830,17 +834,13 @@ def _model_query(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query
 def tfidf_vectors(spark, d):
-    data = baseline.vectors(_fitted(spark, d))
-    parts = F.from_json(
-        F.to_json(F.struct(F.unwrap_udt("features").alias("v"))),
-        "v struct<size: int, indices: array<int>, values: array<double>>",
-    )
-    return data.select("filename", "label_index", parts["v"].alias("v")).select(
+    v = F.unwrap_udt("features")
+    return _fitted(spark, d).rows.select(
         "filename",
         "label_index",
-        F.col("v.size").alias("size"),
-        F.size("v.indices").alias("entries"),
-        F.round(F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"),
+        v["size"].alias("size"),
+        F.size(v["indices"]).alias("entries"),
+        F.round(F.aggregate(v["values"], F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_norm"),
     )
 
 
@@ -896,11 +896,7 @@ def leakage_audit(spark, d):
 @query
 def linear_attribution(spark, d):
     """The 20 strongest terms for every test document and class."""
-    _, rows = baseline.contributions(_fitted(spark, d))
-    rounded = rows.withColumn("contribution", F.round("contribution", 6))
-    return attribution.strongest(rounded, "filename").select(
-        "filename", "class", "rank", "term", "contribution"
-    )
+    return baseline.strongest_contributions(_fitted(spark, d))
 
 
 @query
@@ -914,24 +910,12 @@ def global_attribution(spark, d):
     return features.top_terms(rounded, ["class"], "mean_abs", 20).select("class", "rank", "term", "mean_abs")
 
 
-def _embedding_vectors(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("label_index"),
-        F.col("embedding").cast("array<double>").alias("embedding"),
-    ).withColumn("features", array_to_vector("embedding"))
-
-
 @query
 def embedding_svm(spark, d):
-    data = _embedding_vectors(spark, d)
-    probe = models.embedding_svm(data, max_iter=20)
-    return data.select(
-        "vec_id",
-        F.col("label_index").cast("int").alias("actual"),
-        models.margin_argmax(probe, F.col("embedding")).alias("predicted"),
-    )
+    """A machine with a Gaussian kernel as probe: what it says of the vectors it was fitted on."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("label_index"), "embedding")
+    found = kernel.fit_kernel_machines(vectors).transform(vectors, "vec_id", "label_index")
+    return found.select("vec_id", F.col("label_index").cast("int").alias("actual"), "predicted")
 
 
 @query
