@@ -19,8 +19,8 @@ nothing and are classes of their own, one for each row; a text of fewer words th
 a single shingle; repeated rows are copies of each other, rows that only repeat an id are
 judged by their texts; an empty table gives an empty result; other columns are ignored.
 
-Rows are told apart by their place in the scan, so ``docs`` has to be read from files (as
-stages read what the stage before has written) or come in the same order each time.
+Rows are told apart by their file and their place in it, so ``docs`` has to be read from Parquet
+files, as stages read what the stage before has written; splits of the files may differ between scans.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import written
+from casewright.llm.common import file_numbers, with_places, written
 from casewright.llm.components import components
 from casewright.llm.grouping import grouped
 from casewright.llm.shingling import SLICE_BYTES, mix, shingle_sets, word_hashes
@@ -106,12 +106,7 @@ def chosen_keys(sets: list[np.ndarray], runs: int, rate: float = RATE) -> tuple[
     return [_signed(x) for x in first], [_signed(x) for x in second], parents
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``(_row, doc_id, text)``; the number of a row is its place in the scan of its files."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-
-
-def sketched(docs: DataFrame, runs: int) -> DataFrame:
+def sketched(docs: DataFrame, files: DataFrame, runs: int) -> DataFrame:
     """``(_row, doc_id, _set, _n, _keys, _under, _parent)`` of each document, written."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"_row bigint, doc_id {kind}, _set binary, _n int, _keys array<bigint>, _under array<bigint>, _parent array<bigint>"
@@ -129,7 +124,7 @@ def sketched(docs: DataFrame, runs: int) -> DataFrame:
                     ["_row", "doc_id", "_set", "_n", "_keys", "_under", "_parent"],
                 )
 
-    return written(_numbered(docs).mapInArrow(sketch, schema), "jaccard-sketches")
+    return written(with_places(docs, files, "doc_id", "text").mapInArrow(sketch, schema), "jaccard-sketches")
 
 
 def _sizes(keys: DataFrame, name: str) -> DataFrame:
@@ -255,7 +250,7 @@ def _needed(group: pa.Table) -> pa.RecordBatch | None:
 def _compared(group: pa.Table) -> pa.RecordBatch | None:
     """Exact similarity of the pairs of a bucket: links and least connected set of each."""
     pairs = _pairs_in(group)
-    sets = [np.frombuffer(s, "<u4") for s in group.column("_shingles").to_pylist()]
+    sets = [np.frombuffer(s, "<u8") for s in group.column("_shingles").to_pylist()]
     size = np.array([len(s) for s in sets], float)
     left, right = np.nonzero(pairs)
     if not len(left):
@@ -286,26 +281,26 @@ def _compared(group: pa.Table) -> pa.RecordBatch | None:
     )
 
 
-def _with_shingles(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``(_row, _shingles)`` of the needed rows, 32 bits of each hash, written."""
+def _with_shingles(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(_row, _shingles)`` of the needed rows of ``(_row, text)``, written."""
     ids = needed.select("_row").distinct()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sets in _text_slices(batch):
-                packed = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets]
+                packed = [s.astype("<u8").tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["_row", "_shingles"])
 
     ids = written(ids, "jaccard-needed-ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = docs.join(ids, "_row", "left_semi").select("_row", "text")
-    return written(texts.mapInArrow(fetch, "_row bigint, _shingles binary"), "jaccard-shingles")
+    wanted = texts.join(ids, "_row", "left_semi").select("_row", "text")
+    return written(wanted.mapInArrow(fetch, "_row bigint, _shingles binary"), "jaccard-shingles")
 
 
-def _classes(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, files: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and for each distinct set its class: both written."""
-    sketches = sketched(docs, runs_for(recall))
+    sketches = sketched(docs, files, runs_for(recall))
     classes = written(
         sketches.filter("_set IS NOT NULL").groupBy("_set").agg(
             F.min("_row").alias("_rep"), F.count("*").alias("_copies"), F.min("doc_id").alias("_least")
@@ -322,7 +317,7 @@ def _classes(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
         "_key bigint, _i int, _j int, _block int, _row bigint, _n int, _copies bigint, _keys array<bigint>, _met array<bigint>"
     )
     needed = written(_by_bucket(bucket_rows(reps), _needed, bucket_schema), "jaccard-needed")
-    rows = needed.join(_with_shingles(_numbered(docs).select("_row", "text"), needed), "_row")
+    rows = needed.join(_with_shingles(with_places(docs, files, "text"), needed), "_row")
     links = written(
         _by_bucket(rows.select(*needed.columns, "_shingles"), _compared, "_row bigint, _links bigint, _root bigint"),
         "jaccard-links",
@@ -342,7 +337,7 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     ``class_id`` is the least id that the document is connected with, ``copy_of`` the least id
     with the same shingles, ``n_links`` the number of other documents at the threshold or above.
     """
-    sketches, placed = _classes(docs, recall)
+    sketches, placed = _classes(docs, file_numbers(docs), recall)
     least = placed.groupBy("root").agg(F.min("_least").alias("class_id"))
     links = F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))
     by_set = placed.join(least, "root").select("_set", "class_id", F.col("_least").alias("copy_of"), links.alias("n_links"))
@@ -353,14 +348,15 @@ def joined(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def deduplicated(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """One document of each class, that of the least id; all columns. Texts without words all stay."""
-    sketches, placed = _classes(docs, recall)
+    files = file_numbers(docs)
+    sketches, placed = _classes(docs, files, recall)
     rows = written(sketches.join(placed.select("_set", "root"), "_set").select("root", "doc_id", "_row"), "jaccard-members")
     # A null id comes before all others; of repeated ids the first row stays.
     keepers = rows.groupBy("root").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_kept"))
     dropped = written(rows.join(keepers, "root").filter("_row <> _kept").select("_row"), "jaccard-dropped")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    named = with_places(docs, files, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     return named.join(dropped, "_row", "left_anti").select("_doc.*")
 
 
