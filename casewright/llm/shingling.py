@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20   # text hashed at a time; a worker needs about forty times as much
+KEPT_POWERS = 3 << 19   # numbers a worker keeps, twice; longer texts compute theirs anew
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POWERS: list[np.ndarray] = []
@@ -24,15 +25,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 18))
-        steps = np.ones(size, np.uint64)
-        steps[1:] = np.uint64(_BASE)
-        back = np.ones(size, np.uint64)
-        back[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
-        _POWERS[:] = [np.multiply.accumulate(steps), np.multiply.accumulate(back)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of an odd base and of its inverse modulo 2^64; those for ordinary slices are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = max(n, min(KEPT_POWERS, n + (1 << 18)))
+    steps = np.ones(size, np.uint64)
+    steps[1:] = np.uint64(_BASE)
+    back = np.ones(size, np.uint64)
+    back[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
+    made = [np.multiply.accumulate(steps), np.multiply.accumulate(back)]
+    if size <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -12,15 +12,16 @@ match can be part of, up to ``SPAN - 1`` words to its left and the rest to its r
 sorted and compared with its neighbours in the same way. Passages that another document has
 too are joined to spans as long as the repetition goes on.
 
-The sort is a range partitioning by hash, document and place: a passage that a third of all
-documents share is cut into many partitions. What a partition cannot know, whether its first
-and last run of equal keys go on in its neighbours, is settled by a table of two rows for
-each partition.
+The sort is a range partitioning by hash, document and place, in parts of ``PART_ROWS``: a passage
+that a third of all documents share is cut into many of them. A task reads its part in order and
+holds no more of a run of equal keys than the rows of the run's first document; once another
+document has been seen, the rows of the run go out as they come. What a part cannot know, whether
+its first and last run go on in its neighbours, is settled by a table of at most two keys a part.
 
 Defined results: null, empty and short texts have no passages; passages repeated only within
 one document are not reported; exact copies are repeated throughout; rows are told apart by
-place in the scan (so the input is read from files), also where they repeat an id; an empty
-table gives an empty result; other columns are ignored. Words count from 0, ends are
+their file and place in it (so the input is read from Parquet files), also where they repeat an id;
+an empty table gives an empty result; other columns are ignored. Words count from 0, ends are
 exclusive.
 """
 
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import written
-from casewright.llm.shingling import SLICE_BYTES, windows, word_hashes
+from casewright.llm.common import file_numbers, with_places, written
+from casewright.llm.shingling import windows, word_hashes
 
 PASSAGE = 50                     # words that make a passage
 SPAN = 16                        # neighbours of which one is retained
 GRAM = 10                        # words whose hash decides which
 PREFIX = PASSAGE - SPAN + 1      # words of a retained suffix that are inside every passage it serves
+SLICE_BYTES = 1 << 18            # text worked on at a time; a worker needs about forty times as much
+PART_ROWS = 400_000              # rows of a part of the sort, about
 
 
 def minimisers(grams: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -90,67 +93,117 @@ def suffixes(numbered: DataFrame) -> DataFrame:
     return numbered.select("_row", "text").mapInArrow(retain, "_key bigint, _row bigint, _at int")
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """Add to each sorted row whether its neighbours share its key.
-
-    ``_edge`` is the key of rows in the first or last run of a partition, where the answer is
-    not known yet, and null elsewhere.
+class _Run:
+    """A run of equal keys that a batch leaves open: its first row, and rows of its first document."""
+
+    def __init__(self, rows: pa.Table, opening: bool) -> None:
+        self.key, self.row = rows.column("_key")[0].as_py(), rows.column("_row")[0].as_py()
+        self.head, self.opening, self.shared, self.held = rows.slice(0, 1), opening, False, []
+
+    def add(self, rows: pa.Table, others: list[str], first: bool) -> Iterator[pa.Table]:
+        """Rows that can go out: all, once a second document is there, or if neighbours may go on with the run."""
+        starts = np.zeros(rows.num_rows, bool)
+        starts[0] = first
+        self.held.append((rows, starts))
+        # Sorted by document: the last row says whether there is another one.
+        self.shared = self.shared or rows.column("_row")[rows.num_rows - 1].as_py() != self.row
+        if self.shared or self.opening:
+            yield from self.flush(others, self.opening)
+
+    def flush(self, others: list[str], edge: bool) -> Iterator[pa.Table]:
+        for rows, starts in self.held:
+            yield _flagged(rows, others, np.full(rows.num_rows, edge), np.full(rows.num_rows, self.shared), starts, False)
+        self.held = []
+
+    def close(self, others: list[str]) -> Iterator[pa.Table]:
+        """The part is over: what is left, or else a mark that the run was here."""
+        if self.opening:
+            return
+        if self.shared:
+            yield _flagged(self.head, others, np.ones(1, bool), np.ones(1, bool), np.ones(1, bool), True)
+        else:
+            yield from self.flush(others, True)
+
+
+def _flagged(rows: pa.Table, others: list[str], edge: np.ndarray, shared: np.ndarray, first: np.ndarray, mark: bool) -> pa.Table:
+    key = pa.array(rows.column("_key").to_numpy(), mask=~edge)
+    columns = [rows.column(n) for n in ["_row", "_at", *others]]
+    flags = [key, pa.array(shared), pa.array(first), pa.array(np.full(rows.num_rows, mark))]
+    return pa.table([*columns, *flags], names=["_row", "_at", *others, "_edge", "_shared", "_first", "_mark"])
+
+
+def _whole_runs(rows: pa.Table, others: list[str]) -> pa.Table:
+    """Rows of the runs that lie inside a batch and that another document has too."""
+    key, row = rows.column("_key").to_numpy(), rows.column("_row").to_numpy()
+    starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    ends = np.concatenate([starts[1:], [len(key)]])
+    shared = np.repeat(row[starts] != row[ends - 1], ends - starts)
+    first = np.zeros(len(key), bool)
+    first[starts] = True
+    kept = rows.filter(pa.array(shared))
+    return _flagged(kept, others, np.zeros(kept.num_rows, bool), np.ones(kept.num_rows, bool), first[shared], False)
+
+
+def _told(batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[pa.Table]:
+    """Flagged rows of a sorted part."""
+    run: _Run | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        key = batch.column(batch.schema.get_field_index("_key")).to_numpy()
+        if run is not None:
+            goes_on = int(np.searchsorted(key, run.key, "right"))
+            if goes_on:
+                yield from run.add(rows.slice(0, goes_on), others, False)
+            if goes_on == len(key):
+                continue
+            rows, key = rows.slice(goes_on), key[goes_on:]
+        elif key[0] != key[-1]:
+            run = _Run(rows, True)
+            until = int(np.searchsorted(key, key[0], "right"))
+            yield from run.add(rows.slice(0, until), others, True)
+            rows, key = rows.slice(until), key[until:]
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            yield _whole_runs(rows.slice(0, last), others)
+        run = _Run(rows.slice(last), run is None)
+        yield from run.add(rows.slice(last), others, True)
+    if run is not None:
+        yield from run.close(others)
+
+
+def _compared(rows: DataFrame, parts: int) -> DataFrame:
+    """Add to each sorted row whether its neighbours share its key; rows that surely do not are gone.
+
+    ``_edge`` is the key of rows of the first or last run of a part, where the answer is not
+    known yet, and null elsewhere. A row with ``_mark`` is a second mention of the first row of
+    a part's last run, for its neighbour.
     """
     others = [c for c in rows.columns if c not in ("_key", "_row", "_at")]
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in ["_row", "_at", *others])
-    schema += ", _edge bigint, _shared boolean, _first boolean"
-
-    def told(run: pa.Table, edges: list[int]) -> pa.Table:
-        """All rows of ``run`` hold whole runs; ``edges`` are keys at the ends of the partition."""
-        key, row = run.column("_key").to_numpy(), run.column("_row").to_numpy()
-        starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
-        ends = np.concatenate([starts[1:], [len(key)]])
-        lengths = ends - starts
-        shared = np.repeat(row[starts] != row[ends - 1], lengths)
-        first = np.zeros(len(key), bool)
-        first[starts] = True
-        edge = np.isin(key, edges)
-        kept = shared | edge
-        columns = [run.column(n) for n in ["_row", "_at", *others]]
-        made = pa.table(
-            [*columns, pa.array(key, mask=~edge), pa.array(shared), pa.array(first)],
-            names=["_row", "_at", *others, "_edge", "_shared", "_first"],
-        )
-        return made.filter(pa.array(kept))
+    schema += ", _edge bigint, _shared boolean, _first boolean, _mark boolean"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        opening: int | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-            key = rows.column("_key").to_numpy()
-            opening = int(key[0]) if opening is None else opening
-            # The last run may go on in the next batch.
-            last = int(np.searchsorted(key, key[-1], "left"))
-            if last:
-                yield from told(rows.slice(0, last), [opening]).to_batches()
-            held = rows.slice(last)
-        if held is not None:
-            yield from told(held, [opening, held.column("_key")[0].as_py()]).to_batches()
+        for found in _told(batches, others):
+            yield from found.to_batches()
 
     order = ["_key", "_row", "_at"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, schema)
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, schema)
 
 
 def repeated(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose key another document has too, with ``_first`` for the first of its key."""
-    compared = written(_compared(rows), name)
-    # Two rows at most for each partition, however large a run is.
+    rows = written(rows, name)
+    compared = written(_compared(rows, max(1, -(-rows.count() // PART_ROWS))), f"{name}-compared")
+    # Two keys at most for each part, however large a run is.
     edges = compared.filter("_edge IS NOT NULL").groupBy("_edge").agg(
-        (F.min("_row") != F.max("_row")).alias("_joined"), F.min(F.struct("_row", "_at")).alias("_least")
+        ((F.min("_row") != F.max("_row")) | F.max("_shared")).alias("_joined"), F.min(F.struct("_row", "_at")).alias("_least")
     )
-    settled = compared.join(written(edges, f"{name}-edges"), "_edge", "left")
+    settled = compared.filter("NOT _mark").join(written(edges, f"{name}-edges"), "_edge", "left")
     return settled.filter(F.coalesce("_joined", "_shared")).withColumn(
         "_first", F.when(F.col("_least").isNull(), F.col("_first")).otherwise(F.struct("_row", "_at") == F.col("_least"))
-    ).drop("_edge", "_shared", "_joined", "_least")
+    ).drop("_edge", "_shared", "_joined", "_least", "_mark")
 
 
 def _extended(matches: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -217,6 +270,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Every passage of ``PASSAGE`` words in a span stands in another document as well;
     ``later_words`` of the span repeat what comes first elsewhere and can be cut.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    matches = repeated(written(suffixes(numbered), "suffixes"), "suffix-matches").select("_row", "_at")
-    return _spans(repeated(_extended(matches, numbered), "passage-matches"))
+    numbered = with_places(docs, file_numbers(docs), "doc_id", "text")
+    matches = repeated(suffixes(numbered), "suffixes").select("_row", "_at")
+    return _spans(repeated(_extended(matches, numbered), "passages"))
