@@ -4,9 +4,12 @@ Four rates of each text (word length, symbols, repeated lines, repeated words) a
 transformed so that ordinary texts scatter about evenly. For each language and source
 the minimum-covariance-determinant estimate of centre and scatter is found by
 concentration steps: keep the share of documents nearest to the present centre, estimate
-again from these, repeat. A document far from the centre of its group by Mahalanobis
-distance is rejected. All of it is DataFrame expressions; texts are read once, and the
-steps run on a written table of one narrow row per document.
+again from these, until the determinant falls no more. Steps lead to the nearest hollow only, so
+they go from three starts side by side (medians with median deviations, the classical estimate,
+and the correlations of bounded scores), and the estimate of least determinant is taken. A
+document far from the centre of its group by Mahalanobis distance is rejected. All of it is
+DataFrame expressions; texts are read once, and the steps run on a written table of one narrow row
+per document.
 
 Defined results: a null text is empty, a null language or source is the empty string.
 Groups with fewer than ``MIN_GROUP`` documents are pooled within their language. Rows are
@@ -27,7 +30,8 @@ MIN_WORDS = 50            # base rule: shorter documents fail
 MAX_REPEAT_PCT = 50       # base rule: a larger share of repeated words fails
 MIN_GROUP = 50            # smaller groups are pooled within their language
 CORE_SHARE = 0.75         # share of a group that the estimate is made from
-STEPS = 3                 # concentration steps; from medians they settle in two or three
+STEPS = 12                # concentration steps at most
+SETTLED = 1e-3            # relative fall of a determinant below which its steps have settled
 TAIL = 1e-9               # share of ordinary documents beyond the cut-off
 POOLED = "\u0000pooled"
 
@@ -136,8 +140,11 @@ def _distance() -> Column:
     return sum((y * y for y in solved[1:]), solved[0] * solved[0])
 
 
+STATE = [f"m{i}" for i in range(len(NAMES))] + [f"l{i}{j}" for i in range(len(NAMES)) for j in range(i + 1)] + ["det"]
+
+
 def _with_factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor ``l`` of the covariance ``c``, column by column."""
+    """Cholesky factor ``l`` of the covariance ``c``, column by column, and the determinant."""
     d = len(NAMES)
     for j in range(d):
         diagonal = F.col(f"c{j}{j}")
@@ -149,57 +156,92 @@ def _with_factor(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return groups.drop(*[f"c{i}{j}" for i in range(d) for j in range(i + 1)])
+    product = F.lit(1.0)
+    for j in range(d):
+        product = product * F.col(f"l{j}{j}") ** 2
+    return groups.withColumn("det", product).select("_fit", "_start", *STATE)
+
+
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def _estimated(members: DataFrame, factor: float) -> DataFrame:
-    """Mean and Cholesky factor per ``_fit``, one combined aggregation."""
-    pairs = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+    """Mean and Cholesky factor per ``_fit`` and ``_start``, one combined aggregation."""
     means = [F.avg(n).alias(f"m{i}") for i, n in enumerate(NAMES)]
-    covs = [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in pairs]
-    groups = members.groupBy("_fit").agg(*means, *covs)
+    covs = [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in _pairs()]
+    groups = members.groupBy("_fit", "_start").agg(*means, *covs)
     spread = [
-        (factor * F.col(f"c{i}{j}") + (SPREAD[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs
+        (factor * F.col(f"c{i}{j}") + (SPREAD[NAMES[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in _pairs()
     ]
-    return _with_factor(groups.select("_fit", *[f"m{i}" for i in range(len(NAMES))], *spread))
+    return _with_factor(groups.select("_fit", "_start", *[f"m{i}" for i in range(len(NAMES))], *spread))
 
 
-def _started(members: DataFrame) -> DataFrame:
-    """Medians and median deviations, as the first centre and (diagonal) scatter."""
-    middle = members.groupBy("_fit").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(NAMES)])
-    around = members.join(middle, "_fit")
-    spread = around.groupBy("_fit").agg(
+def _starts(members: DataFrame) -> DataFrame:
+    """Three first estimates of every ``_fit``, written.
+
+    Medians and deviations are one row per group, written so that Spark sees their size and
+    sends them to the rows instead of shuffling these.
+    """
+    middle = written(
+        members.groupBy("_fit").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m{i}") for i, n in enumerate(NAMES)]), "mcd-middle"
+    )
+    deviation = members.join(middle, "_fit").groupBy("_fit").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(NAMES))],
         *[F.percentile_approx(F.abs(F.col(n) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, n in enumerate(NAMES)],
     )
-    scatter = [
-        (F.pow(1.4826 * F.col(f"d{i}"), 2) + SPREAD[NAMES[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
-        for i in range(len(NAMES))
-        for j in range(i + 1)
+    own = [F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + SPREAD[n] ** 2).alias(f"s{i}") for i, n in enumerate(NAMES)]
+    scales = written(deviation.select("_fit", *[f"m{i}" for i in range(len(NAMES))], *own), "mcd-scales")
+    alone = [(F.pow(F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs()]
+    medians = _with_factor(scales.select("_fit", F.lit(0).alias("_start"), *[f"m{i}" for i in range(len(NAMES))], *alone))
+    classical = _estimated(members.withColumn("_start", F.lit(1)), 1.0)
+    # Scores that no outlier can stretch: their correlations, at the robust scales.
+    scores = members.join(scales, "_fit").select(
+        "_fit", *[f"{x}{i}" for x in "ms" for i in range(len(NAMES))],
+        *[F.tanh((F.col(n) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, n in enumerate(NAMES)],
+    )
+    bounded = scores.groupBy("_fit").agg(
+        *[F.first(f"{x}{i}").alias(f"{x}{i}") for x in "ms" for i in range(len(NAMES))],
+        *[F.covar_pop(f"z{i}", f"z{j}").alias(f"v{i}{j}") for i, j in _pairs()],
+    )
+    correlated = [
+        (
+            F.pow(F.col(f"s{i}"), 2)
+            if i == j
+            else F.coalesce(F.try_divide(F.col(f"v{i}{j}"), F.sqrt(F.col(f"v{i}{i}") * F.col(f"v{j}{j}"))), F.lit(0.0)) * F.col(f"s{i}") * F.col(f"s{j}")
+        ).alias(f"c{i}{j}")
+        for i, j in _pairs()
     ]
-    return _with_factor(spread.select("_fit", *[f"m{i}" for i in range(len(NAMES))], *scatter))
+    joint = _with_factor(bounded.select("_fit", F.lit(2).alias("_start"), *[f"m{i}" for i in range(len(NAMES))], *correlated))
+    return written(medians.unionByName(classical).unionByName(joint), "mcd-start")
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """``(_lang, _source, m.., l..)``: centre and Cholesky factor for each group of ``vectors``.
+    """``(_lang, _source, m.., l.., det)``: centre, Cholesky factor and determinant for each group of ``vectors``.
 
     ``vectors`` is a written table with ``_lang``, ``_source`` and the four statistics. The
-    estimates are one row per group; Spark joins them by broadcast while they are small.
+    estimates are three rows per group; Spark joins them by broadcast while they are small.
     """
     sizes = vectors.groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
     fit = F.when(F.col("_n") >= MIN_GROUP, F.struct("_lang", "_source")).otherwise(
         F.struct("_lang", F.lit(POOLED).alias("_source"))
     )
     groups = written(sizes.select("_lang", "_source", fit.alias("_fit")), "mcd-groups")
-    members = vectors.join(groups, ["_lang", "_source"])
-    estimates = written(_started(members), "mcd-start")
+    members = vectors.join(groups, ["_lang", "_source"]).select("_fit", *NAMES)
+    estimates, keys = _starts(members), ["_fit", "_start"]
     for step in range(STEPS):
         placed = members.join(estimates, "_fit").withColumn("_d", _distance())
         # Every document is measured; the cut is its group's quantile of all distances.
-        cuts = placed.groupBy("_fit").agg(F.percentile_approx("_d", CORE_SHARE, 1000).alias("_cut"))
-        core = placed.join(written(cuts, f"mcd-cut-{step}"), "_fit").filter(F.col("_d") <= F.col("_cut"))
-        estimates = written(_estimated(core, core_factor()), f"mcd-{step}")
-    return groups.join(estimates, "_fit").drop("_fit")
+        cuts = placed.groupBy(*keys).agg(F.percentile_approx("_d", CORE_SHARE, 1000).alias("_cut"))
+        core = placed.join(written(cuts, f"mcd-cut-{step}"), keys).filter(F.col("_d") <= F.col("_cut"))
+        found = written(_estimated(core.select(*keys, *NAMES), core_factor()), f"mcd-{step}")
+        fall = found.join(estimates.select(*keys, F.col("det").alias("_before")), keys).agg(F.max(1 - F.col("det") / F.col("_before"))).first()[0]
+        estimates = found
+        # The starts themselves are no estimates from a core, so their determinants do not count.
+        if step and (fall is None or fall <= SETTLED):
+            break
+    least = estimates.groupBy("_fit").agg(F.min(F.struct("det", "_start", *[c for c in STATE if c != "det"])).alias("_best"))
+    return groups.join(least.select("_fit", *[F.col(f"_best.{c}").alias(c) for c in STATE]), "_fit").drop("_fit")
 
 
 def with_verdict(placed: DataFrame) -> DataFrame:

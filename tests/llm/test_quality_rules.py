@@ -56,18 +56,50 @@ def test_counts(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def distances(x, steps=qr.STEPS):
-    """The same concentration steps on one group."""
+def estimate(x):
+    """The three starts and their steps on one group, and the estimate of least determinant."""
     floor = np.diag([s * s for s in qr.SPREAD.values()])
-    middle = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
-    spread = np.sort(np.abs(x - middle), axis=0)[(len(x) + 1) // 2 - 1] * 1.4826
-    centre, scatter = middle, np.diag(spread**2) + floor
-    far = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
-    for _ in range(steps):
-        d = far()
-        core = x[d <= np.sort(d)[int(np.ceil(qr.CORE_SHARE * len(d))) - 1] + 1e-12]
-        centre, scatter = core.mean(axis=0), qr.core_factor() * np.cov(core.T, bias=True) + floor
-    return far()
+    lower = lambda v: np.sort(v, axis=0)[(len(x) + 1) // 2 - 1]
+    middle = lower(x)
+    scale = np.sqrt((1.4826 * lower(np.abs(x - middle))) ** 2 + np.diag(floor))
+    z = np.cov(np.tanh((x - middle) / scale).T, bias=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        bounded = np.nan_to_num(z / np.sqrt(np.outer(np.diag(z), np.diag(z)))) * np.outer(scale, scale)
+    np.fill_diagonal(bounded, scale**2)
+    found = []
+    for centre, scatter in ((middle, np.diag(scale**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + floor), (middle, bounded)):
+        dets = []
+        for _ in range(qr.STEPS):
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            core = x[d <= np.sort(d)[int(np.ceil(qr.CORE_SHARE * len(d))) - 1] + 1e-12]
+            centre, scatter = core.mean(axis=0), qr.core_factor() * np.cov(core.T, bias=True) + floor
+            dets.append(np.linalg.det(scatter))
+        found.append((dets[-1], centre, scatter))
+    return min(found, key=lambda f: f[0])
+
+
+def distances(x):
+    _, centre, scatter = estimate(x)
+    return np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+
+
+def test_least_determinant_against_numpy(spark):
+    """Groups with a third of outliers in one place, where starts end in different hollows."""
+    rng = np.random.default_rng(1)
+    groups = {}
+    for name, (share, far) in {"clean": (0, 0), "few": (0.1, 3), "third": (0.24, 1.0), "wide": (0.2, 0.4)}.items():
+        x = rng.normal(0, [0.2, 0.1, 0.3, 0.2], (400, 4))
+        x[:, 1] += 0.8 * x[:, 0]
+        bad = rng.random(400) < share
+        x[bad] = rng.normal(far, 0.02, (int(bad.sum()), 4))
+        groups[name] = x
+    rows = [("", name, *map(float, v)) for name, x in groups.items() for v in x]
+    vectors = spark.createDataFrame(rows, "_lang string, _source string, " + ", ".join(f"{n} double" for n in qr.NAMES))
+    got = {r["_source"]: r for r in qr.robust_estimates(vectors).collect()}
+    for name, x in groups.items():
+        det, centre, _ = estimate(x)
+        assert got[name]["det"] <= det * 1.01 and got[name]["det"] >= det * 0.9, name
+        assert np.allclose([got[name][f"m{i}"] for i in range(4)], centre, atol=0.02), name
 
 
 def test_outliers_against_numpy(spark):
