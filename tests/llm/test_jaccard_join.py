@@ -124,3 +124,9 @@ def test_recall_with_large_buckets_only():
     met = rng.poisson(shared * jj.SPLIT_RATE * 0.8) > 0
     compared = shared >= np.maximum(1, jj.LEAST_SHARED * (shared + np.minimum(a, b)))
     assert (~(met & compared)).mean() < 1e-5
+
+
+def test_packed_shingles():
+    hashes = np.random.default_rng(2).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert np.array_equal(jj._unpack(jj._pack(hashes)), np.unique(hashes >> np.uint64(16)))
+    assert len(jj._unpack(jj._pack(hashes[:0]))) == 0
