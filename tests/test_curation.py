@@ -176,3 +176,34 @@ def test_long_files_are_streamed(spark, tmp_path, longest):
     expected = spark.createDataFrame([(n,) for n in [*files, "gone.md"]], "filename string")
     checked = tb.integrity_check(found, tb.file_hashes(found, expected))
     assert {r["filename"]: r["status"] for r in checked.collect()} == {n: "OK" for n in files} | {"gone.md": "UNEXPECTED"}
+
+
+def test_two_drivers_cannot_run_one_step(spark, tmp_path):
+    """Of many claims at once one succeeds; a run that goes on keeps others out, one that is gone does not."""
+    from concurrent.futures import ThreadPoolExecutor
+    from datetime import timedelta
+
+    manifest = str(tmp_path / "m")
+
+    def attempt(_):
+        try:
+            tb.claim(spark, manifest, "s")
+            return 1
+        except tb.StepTaken:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(attempt, range(40))) == 1
+    with pytest.raises(tb.StepTaken):
+        tb.materialize("s", lambda: spark.range(3), str(tmp_path / "t"), manifest, spark)
+    tb.claim(spark, manifest, "s", lease=timedelta(seconds=-1))   # the other run is gone
+    tb.release(spark, manifest, "s")
+
+    def build():
+        with pytest.raises(tb.StepTaken):
+            tb.materialize("s", lambda: spark.range(9), str(tmp_path / "t"), manifest, spark)
+        return spark.range(3)
+
+    assert tb.materialize("s", build, str(tmp_path / "t"), manifest, spark).count() == 3
+    # The claim is gone with the run, and the finished table is handed out.
+    assert tb.materialize("s", lambda: spark.range(9), str(tmp_path / "t"), manifest, spark).count() == 3
