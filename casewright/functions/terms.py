@@ -34,5 +34,11 @@ def ngrams(terms: Column, n: int) -> Column:
     )
 
 
+def ngram_hashes(terms: Column, n: int) -> Column:
+    """A 64-bit hash of each run of ``n`` neighbouring terms, without making the run."""
+    starts = F.slice(terms, F.lit(1), F.greatest(F.size(terms) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda t, i: F.xxhash64(t, *[F.get(terms, i + k) for k in range(1, n)]))
+
+
 def ngram_range(terms: Column, low: int, high: int) -> Column:
     return F.concat(*[ngrams(terms, n) for n in range(low, high + 1)])

@@ -14,6 +14,7 @@ from casewright import lexicons as lx
 from casewright.functions import terms as tm
 from casewright.functions.rows import struct_rows
 
+SPELT_HASHES = 2_000      # n-grams that are picked out by a list of hashes; of more, all are spelt out
 BROADCAST_ROWS = 200_000  # a vocabulary or model table up to this size is sent to every task
 
 
@@ -92,6 +93,13 @@ def vocab_top_k(counts: DataFrame, min_df: int, max_features: int) -> DataFrame:
     )
 
 
+def _picked_ngrams(words: Column, n: int, hashes: Sequence[int]) -> Column:
+    """The n-grams with one of the given hashes, in order; no other is spelt out."""
+    placed = F.transform(tm.ngram_hashes(words, n), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    picked = F.filter(placed, lambda x: x["h"].isin(list(hashes)))
+    return F.transform(picked, lambda x: F.concat_ws(" ", *[F.get(words, x["i"] + k) for k in range(n)]))
+
+
 def ngram_tables(
     docs: DataFrame,
     label: str = "label",
@@ -100,14 +108,29 @@ def ngram_tables(
     min_df: int = lx.NGRAM_MIN_DF,
     limit: int = 20,
 ) -> DataFrame:
-    """Ranked n-grams per label and n, for all labels in one job."""
+    """Ranked n-grams per label and n, for all labels in one job.
+
+    Every n-gram is first counted by its hash, a number instead of a string in the shuffle. The
+    hashes that reach the count of the last rank, ties included, hold all winners; only their
+    n-grams are then spelt out and counted again, which tells apart any that share a hash.
+    """
     sizes = sizes or {1: "unigram", 2: "bigram", 3: "trigram"}
-    by_size = struct_rows(
-        ["type", "terms"],
-        *[[F.lit(name), tm.ngrams(F.col(tokens), n)] for n, name in sizes.items()],
-    )
-    rows = docs.select(label, F.inline(by_size))
-    counts = term_counts(rows, [label, "type"]).filter(F.col("df") >= min_df)
+
+    def table(terms: dict[int, Column]) -> DataFrame:
+        by_size = struct_rows(["type", "terms"], *[[F.lit(sizes[n]), c] for n, c in terms.items()])
+        return docs.select(label, F.inline(by_size))
+
+    words = F.col(tokens)
+    hashed = term_counts(table({n: tm.ngram_hashes(words, n) for n in sizes}), [label, "type"]).filter(F.col("df") >= min_df)
+    order = Window.partitionBy(label, "type").orderBy(F.desc("count"))
+    winners = hashed.withColumn("rank", F.rank().over(order)).filter(F.col("rank") <= limit)
+    found = winners.select("type", "term").distinct().limit(SPELT_HASHES + 1).collect()
+    if len(found) > SPELT_HASHES:
+        terms = {n: tm.ngrams(words, n) for n in sizes}
+    else:
+        wanted = {n: [r["term"] for r in found if r["type"] == name] for n, name in sizes.items()}
+        terms = {n: _picked_ngrams(words, n, wanted[n]) for n in sizes}
+    counts = term_counts(table(terms), [label, "type"]).filter(F.col("df") >= min_df)
     return top_terms(counts, [label, "type"], "count", limit).select(
         label, "type", "rank", F.col("term").alias("token"), "count"
     )
