@@ -93,6 +93,15 @@ def fit_features(
     train = doc_terms.filter(F.col("split") == "train").select(F.inline("entries"))
     per_term = train.groupBy("term").agg(F.sum("tf").alias("count"), F.count("*").alias("df"))
     n_train = docs.filter(F.col("split") == "train").agg(F.count("*")).scalar()
+    return weigh(docs, doc_terms, per_term, n_train, min_df, max_features, key)
+
+
+def weigh(
+    docs: DataFrame, doc_terms: DataFrame, per_term: DataFrame, n_train: F.Column,
+    min_df: int = lx.MIN_DF, max_features: int = lx.MAX_FEATURES, key: str = KEY,
+) -> Features:
+    """Vocabulary from the counts of the training rows, and a vector for each row of ``doc_terms``."""
+    keep = [key, "label", "split"]
     vocabulary = written(
         features.with_index(features.tfidf_fit(per_term, n_train, min_df, max_features)), "vocabulary"
     )

@@ -17,8 +17,8 @@ from casewright.functions import lexicon as lc
 from casewright.functions import terms as tm
 from casewright.functions import text as tx
 from casewright.functions.rows import struct_rows
-from casewright.operators import attribution, curate, features, joins, kernel, metrics, models, near_dup, split, stats
-from casewright.plans import baseline
+from casewright.operators import attribution, curate, features, joins, kernel, metrics, models, near_dup, split, stats, tree_paths
+from casewright.plans import baseline, folds
 from casewright.plans.corpus import PILLARS, labelled_corpus, retained_label_distribution, with_labels
 from casewright.plans.overlay import overlay_corpus, overlay_filename, table
 from casewright.sources import corpus as src
@@ -893,6 +893,79 @@ def leakage_audit(spark, d):
     return leaks.select("rank", "term", F.array_join("leaks", ",").alias("leaks"))
 
 
+# --- fitted models, judged and explained ---------------------------------------
+
+CLOSED_FORM = ("bow_logistic_regression", "logistic_regression", "complement_naive_bayes")
+
+
+def _fitted_predictions(spark: SparkSession, d: str) -> tuple[baseline.Features, DataFrame]:
+    """Test-row predictions of the linear models, Bayes and the majority; the tree models have queries of their own."""
+    fitted = _fitted(spark, d)
+    data = baseline.vectors(fitted)
+    return fitted, written(baseline.predict_all(baseline.train_models(data, names=CLOSED_FORM), data), "model_predictions")
+
+
+@query
+def model_evaluation(spark, d):
+    out = baseline.evaluate(_fitted_predictions(spark, d)[1])
+    return out.select("model", r6("macro_f1"), r6("mcc"), r6("auc_macro"))
+
+
+@query
+def model_best(spark, d):
+    best = metrics.best_model(baseline.evaluate(_fitted_predictions(spark, d)[1]))
+    return best.select("model", r6("macro_f1"))
+
+
+@query
+def model_documents(spark, d):
+    """Every document with its split, and the predictions beside each other on the test rows."""
+    fitted, predictions = _fitted_predictions(spark, d)
+    names = {m: baseline.PREDICTED[m] for m in ("majority_class", *CLOSED_FORM)}
+    return metrics.attach_predictions(fitted.docs, predictions, "filename", names)
+
+
+@query
+def fold_models(spark, d):
+    """Macro-F1 of the linear model on every fold of every seed, fitted on the other folds."""
+    done = folds.cross_validate(spark, _labelled(spark, d), scratch_path(spark, "folds"))
+    return done["scores"].select("seed", "fold", r6("macro_f1"))
+
+
+def _explained_forest(spark: SparkSession, d: str):
+    fitted = _fitted(spark, d)
+    data = baseline.vectors(fitted)
+    forest = models.random_forest(data.filter(F.col("split") == "train"))
+    return fitted, data, forest, tree_paths.forest_nodes(forest, len(lx.CLASSES))
+
+
+@query
+def forest_class_terms(spark, d):
+    """For each class the 20 terms that move the forest most over the background rows, and their spread."""
+    fitted, data, _, nodes = _explained_forest(spark, d)
+    sample = written(split.background_sample(data.filter(F.col("split") == "train"), "filename"), "background")
+    found = tree_paths.forest_contributions(sample, nodes, "filename")
+    spread = tree_paths.mean_by_class(found, fitted.vocabulary, sample.count())
+    top = features.top_terms(spread.withColumn("mean_abs", F.round("mean_abs", 6)), ["class"], "mean_abs", 20)
+    return top.select("class", "rank", "term", "mean_abs", r6("least"), r6("greatest"), "n")
+
+
+@query
+def forest_waterfall(spark, d):
+    """From the base to the forest's score: the 20 strongest terms of the surest environmental test row."""
+    fitted, data, forest, nodes = _explained_forest(spark, d)
+    scored = models.predict(forest, data.filter(F.col("split") == "test"), "random_forest", "filename")
+    case = scored.orderBy(F.desc("p_0"), "filename").limit(1).select("filename", F.col("p_0").alias("score"))
+    row = written(data.join(F.broadcast(case), "filename").select("filename", "features", "score"), "surest-case")
+    found = tree_paths.forest_contributions(row, nodes, "filename").filter(F.col("class") == "E").drop("class")
+    named = features.with_terms(found, fitted.vocabulary, fitted.n_terms).withColumn("size", F.round(F.abs("contribution"), 6))
+    top = features.top_terms(named, ["filename"], "size", 20)
+    base = tree_paths.base_shares(nodes).filter(F.col("class") == "E").select("base")
+    return top.join(row.select("filename", "score"), "filename").select(
+        "filename", "rank", "term", r6("contribution"), r6("score"), F.round(base.scalar(), 6).alias("base")
+    )
+
+
 @query
 def linear_attribution(spark, d):
     """The 20 strongest terms for every test document and class."""
