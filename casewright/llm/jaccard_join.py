@@ -180,14 +180,18 @@ def _incidence(lists: list[np.ndarray]) -> np.ndarray:
 
 
 def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all intersections, some thousand distinct values at a time."""
+    """Sizes of the intersections of different sets, some thousand distinct values at a time."""
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
+    # A value that one set alone has is in no intersection.
     code = np.cumsum(np.concatenate([[0], (flat[1:] != flat[:-1]).astype(np.int64)]))
+    count = np.bincount(code)
+    shared = count > 1
+    row, code = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(code[-1]) + 1, columns):
+    for first in range(0, int(shared.sum()), columns):
         a, b = np.searchsorted(code, [first, first + columns])
         part = np.zeros((len(sets), columns), np.float32)
         part[row[a:b], code[a:b] - first] = 1

@@ -130,3 +130,10 @@ def test_packed_shingles():
     hashes = np.random.default_rng(2).integers(0, 2**64, 1000, dtype=np.uint64)
     assert np.array_equal(jj._unpack(jj._pack(hashes)), np.unique(hashes >> np.uint64(16)))
     assert len(jj._unpack(jj._pack(hashes[:0]))) == 0
+
+
+def test_intersections_by_blocks_of_values():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    got = jj._common(sets, 64)
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
