@@ -5,8 +5,8 @@ transformed so that ordinary texts scatter about evenly. For each language and s
 the minimum-covariance-determinant estimate of centre and scatter is found by
 concentration steps: keep the share of documents nearest to the present centre, estimate
 again from these, until the determinant falls no more. Steps lead to the nearest hollow only, so
-they go from three starts side by side (medians with median deviations, the classical estimate,
-and the correlations of bounded scores), and the estimate of least determinant is taken. A
+a few are made from three starts side by side (medians with median deviations, the classical
+estimate, and the correlations of bounded scores), and those with the least determinant go on. A
 document far from the centre of its group by Mahalanobis distance is rejected. All of it is
 DataFrame expressions; texts are read once, and the steps run on a written table of one narrow row
 per document.
@@ -30,8 +30,9 @@ MIN_WORDS = 50            # base rule: shorter documents fail
 MAX_REPEAT_PCT = 50       # base rule: a larger share of repeated words fails
 MIN_GROUP = 50            # smaller groups are pooled within their language
 CORE_SHARE = 0.75         # share of a group that the estimate is made from
-STEPS = 12                # concentration steps at most
-SETTLED = 1e-3            # relative fall of a determinant below which its steps have settled
+FIRST_STEPS = 2           # concentration steps from every start
+STEPS = 8                 # and at most in all, from the start that is best by then
+SETTLED = 5e-3            # relative fall of a determinant below which its steps have settled
 TAIL = 1e-9               # share of ordinary documents beyond the cut-off
 POOLED = "\u0000pooled"
 
@@ -236,12 +237,16 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
         core = placed.join(written(cuts, f"mcd-cut-{step}"), keys).filter(F.col("_d") <= F.col("_cut"))
         found = written(_estimated(core.select(*keys, *NAMES), core_factor()), f"mcd-{step}")
         fall = found.join(estimates.select(*keys, F.col("det").alias("_before")), keys).agg(F.max(1 - F.col("det") / F.col("_before"))).first()[0]
-        estimates = found
-        # The starts themselves are no estimates from a core, so their determinants do not count.
-        if step and (fall is None or fall <= SETTLED):
+        estimates = written(_least(found), "mcd-least") if step + 1 == FIRST_STEPS else found
+        if step >= FIRST_STEPS and (fall is None or fall <= SETTLED):
             break
-    least = estimates.groupBy("_fit").agg(F.min(F.struct("det", "_start", *[c for c in STATE if c != "det"])).alias("_best"))
-    return groups.join(least.select("_fit", *[F.col(f"_best.{c}").alias(c) for c in STATE]), "_fit").drop("_fit")
+    return groups.join(estimates.drop("_start"), "_fit").drop("_fit")
+
+
+def _least(estimates: DataFrame) -> DataFrame:
+    """Of each group the estimate with the least determinant; of equal ones the first start's."""
+    best = F.min(F.struct("det", "_start", *[c for c in STATE if c != "det"])).alias("_best")
+    return estimates.groupBy("_fit").agg(best).select("_fit", *[F.col(f"_best.{c}").alias(c) for c in ("_start", *STATE)])
 
 
 def with_verdict(placed: DataFrame) -> DataFrame:

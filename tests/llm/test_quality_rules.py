@@ -66,16 +66,16 @@ def estimate(x):
     with np.errstate(invalid="ignore", divide="ignore"):
         bounded = np.nan_to_num(z / np.sqrt(np.outer(np.diag(z), np.diag(z)))) * np.outer(scale, scale)
     np.fill_diagonal(bounded, scale**2)
-    found = []
-    for centre, scatter in ((middle, np.diag(scale**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + floor), (middle, bounded)):
-        dets = []
-        for _ in range(qr.STEPS):
+    def steps(centre, scatter, count):
+        for _ in range(count):
             d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
             core = x[d <= np.sort(d)[int(np.ceil(qr.CORE_SHARE * len(d))) - 1] + 1e-12]
             centre, scatter = core.mean(axis=0), qr.core_factor() * np.cov(core.T, bias=True) + floor
-            dets.append(np.linalg.det(scatter))
-        found.append((dets[-1], centre, scatter))
-    return min(found, key=lambda f: f[0])
+        return np.linalg.det(scatter), centre, scatter
+
+    starts = (middle, np.diag(scale**2)), (x.mean(axis=0), np.cov(x.T, bias=True) + floor), (middle, bounded)
+    _, centre, scatter = min((steps(*s, qr.FIRST_STEPS) for s in starts), key=lambda f: f[0])
+    return steps(centre, scatter, qr.STEPS - qr.FIRST_STEPS)
 
 
 def distances(x):
