@@ -167,21 +167,11 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
     )
 
 
-def _incidence(lists: list[np.ndarray]) -> np.ndarray:
-    """Rows by distinct values that more than one list has."""
-    flat = np.concatenate(lists)
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    values, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(count > 1) - 1
-    kept = count[code] > 1
-    found = np.zeros((len(lists), int((count > 1).sum())), np.float32)
-    found[row[kept], column[code[kept]]] = 1
-    return found
-
-
 def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of different sets, some thousand distinct values at a time."""
     flat = np.concatenate(sets)
+    if not len(flat):
+        return np.zeros((len(sets), len(sets)), np.float32)
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
@@ -202,12 +192,10 @@ def _common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 def _candidates(key: int, cross: bool, block: np.ndarray, n: np.ndarray, keys: list[np.ndarray], met: list[np.ndarray]) -> np.ndarray:
     """Pairs (upper triangle) of a bucket to be compared in it."""
     sizes = np.array([len(np.unique(k)) for k in keys], float)
-    shared = _incidence(keys)
-    common = shared @ shared.T
+    common = _common(keys)
     fits = common >= np.maximum(1, LEAST_SHARED * np.minimum(sizes[:, None], sizes[None, :]))
     fits &= DENOMINATOR * np.minimum(n[:, None], n[None, :]) >= NUMERATOR * np.maximum(n[:, None], n[None, :])
-    earlier = _incidence([m[m < key] for m in met])
-    fits &= (earlier @ earlier.T) == 0
+    fits &= _common([m[m < key] for m in met]) == 0
     if cross:
         fits &= block[:, None] != block[None, :]
     return np.triu(fits, 1)
