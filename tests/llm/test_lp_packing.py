@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from casewright.llm import lp_packing as lp
-from casewright.llm.encoding import default_tokenizer, encoder
+from casewright.llm.encoding import Encoder, default_tokenizer, encoder
 
 TEXTS = [
     None, "", " ", "a  b", " lead", "x \n y", "foo.\n bar\n\n  baz  ", "tab\t x", "\n\n", "a \nb", "q\n \nz",
@@ -73,3 +73,15 @@ def test_pricing_packs_every_piece_close_to_the_bound():
     assert sum(p.times for p in lp.patterns_for(histogram)) <= 1.001 * lp.lp_bound(histogram, lp.CAPACITY) + 1
     # Pieces of just over a third: no sequence is full.
     assert sum(p.times for p in lp.patterns_for({700: 1000, 1100: 500})) == 750
+
+
+def test_words_before_marks_are_encoded_once():
+    coder = Encoder(default_tokenizer())
+    texts = [
+        "x word word. word, word; word: word! word?", "a.b. c.. d., e.\nf 'g. it's. h's, é. ß, 日. ª. µ, 5. _. . ,", "tail é.", " . ! x.",
+        "ſ. K. ǆ, İ. ..a a.. a.? \u00ad. \xa0. x\xa0. ﬁ, e\u0301.",
+    ]
+    ids, bounds = coder.encode(texts, lp.END_ID)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == ids_of(t)
+    assert [k for k in coder.known if k.startswith(" word")] == [" word"]
