@@ -132,22 +132,36 @@ def _sizes(keys: DataFrame, name: str) -> DataFrame:
     return written(keys.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1"), name)
 
 
-def bucket_rows(reps: DataFrame) -> DataFrame:
-    """``(_cell, _block, _row, ...)``: each set in each bucket it is compared in."""
-    first = reps.select("_row", F.posexplode("_keys").alias("_at", "_key"))
-    met = first.join(_sizes(first.select("_key"), "jaccard-buckets"), "_key")
-    large = F.col("_size") > LIMIT
+def _split_keys(sketches: DataFrame, reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(_row, _key)``: the keys that sets in a large bucket have under it.
+
+    The keys below are many more than those of the buckets, so they stay where the sketches are: of the large
+    buckets there are at most keys / ``LIMIT``, which go to every task, or beyond the bound are joined by shuffle.
+    """
+    large = written(sizes.filter(F.col("_size") > LIMIT).select("_key"), "jaccard-large-buckets")
+    each = sketches.select("_row", F.explode(
+        F.transform("_keys", lambda k, at: F.struct(k.alias("_key"), F.filter("_under", lambda _, i: F.element_at("_parent", i + 1) == at).alias("_below")))
+    ).alias("_top"))
+    each = each.select("_row", "_top.*")
+    inside = each.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "_key", "left_semi")
+    return inside.select("_row", F.explode("_below").alias("_key")).join(reps.select("_row"), "_row", "left_semi")
+
+
+def bucket_rows(reps: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """``(_cell, _block, _row, ...)``: each set in each bucket it is compared in.
+
+    ``sketches`` hold the keys under the buckets, of these sets and maybe of others; without them ``reps`` do.
+    """
+    sketches = reps if sketches is None else sketches
+    first = reps.select("_row", F.explode("_keys").alias("_key"))
+    sizes = _sizes(first.select("_key"), "jaccard-buckets")
+    # No large bucket is left out: what a pair shares may be in large ones alone.
     by_set = written(
-        met.groupBy("_row").agg(
-            F.collect_list(F.when(~large, F.col("_key"))).alias("_small"),
-            F.collect_list(F.when(large, F.col("_at").cast("bigint"))).alias("_large"),
-        ),
+        first.join(sizes, "_key").groupBy("_row").agg(F.collect_list(F.when(F.col("_size") <= LIMIT, F.col("_key"))).alias("_small")),
         "jaccard-places",
     )
-    # No large bucket is left out: what a pair shares may be in large ones alone.
     placed = reps.join(by_set, "_row")
-    under = F.filter("_under", lambda _, i: F.array_contains("_large", F.element_at("_parent", i + 1)))
-    split = placed.select("_row", F.explode(under).alias("_key"))
+    split = written(_split_keys(sketches, reps, sizes), "jaccard-split-keys")
     split_sizes = _sizes(split, "jaccard-split-buckets")
     split_met = split.join(split_sizes, "_key").withColumn("_blocks", F.ceil(F.col("_size") / LIMIT).cast("int"))
     deeper = split_met.groupBy("_row").agg(F.collect_list(F.struct("_key", "_blocks")).alias("_deep"))
@@ -313,14 +327,14 @@ def _classes(docs: DataFrame, files: DataFrame, recall: float) -> tuple[DataFram
     )
     reps = written(
         sketches.join(classes.select(F.col("_rep").alias("_row"), "_copies"), "_row").select(
-            "_row", "_n", "_copies", "_keys", "_under", "_parent"
+            "_row", "_n", "_copies", "_keys"
         ),
         "jaccard-representatives",
     )
     bucket_schema = (
         "_key bigint, _i int, _j int, _block int, _row bigint, _n int, _copies bigint, _keys array<bigint>, _met array<bigint>"
     )
-    needed = written(_by_bucket(bucket_rows(reps), _needed, bucket_schema), "jaccard-needed")
+    needed = written(_by_bucket(bucket_rows(reps, sketches.filter("_set IS NOT NULL")), _needed, bucket_schema), "jaccard-needed")
     rows = needed.join(_with_shingles(with_places(docs, files, "text"), needed), "_row")
     links = written(
         _by_bucket(rows.select(*needed.columns, "_shingles"), _compared, "_row bigint, _links bigint, _root bigint"),

@@ -160,3 +160,15 @@ def test_a_bucket_of_many_keys_takes_little_memory():
     assert {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(found))) if a < 60} == expected and expected
     # Lists without a value share nothing.
     assert not jj._candidates(0, False, block[:3], n[:3], keys[:3], [np.zeros(0, np.int64)] * 3)[np.tril_indices(3)].any()
+
+
+def test_keys_under_buckets_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Tables that are made by joins leave the many keys under the buckets, and whose they are, where they are."""
+    monkeypatch.setattr(jj, "LIMIT", 8)
+    tables, write = {}, jj.written
+    monkeypatch.setattr(jj, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, "one two three four five six " + "x" * (i % 3)) for i in range(40)], "doc_id bigint, text string").write.parquet(path)
+    assert jj.joined(spark.read.parquet(path)).count() == 40
+    assert {"_under", "_parent"} <= set(tables["jaccard-sketches"].columns)
+    assert not {"_under", "_parent"} & set(tables["jaccard-representatives"].columns)
