@@ -17,8 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHED_PIECES = 150_000    # distinct pieces a worker remembers, about 40 MB
-SLICE_BYTES = 2 << 20      # text worked on at a time; a worker needs about forty times as much
+SLICE_BYTES = 1 << 20      # text worked on at a time; a worker needs about forty times as much
 JOINED_CHARS = 20_000      # distinct pieces are handed to the tokenizer in texts of this length
+GATHERED = 20_000          # pieces whose ids are gathered at a time
+HELD_CHARS = 40_000        # characters, and
+HELD_TEXTS = 256           # texts, whose encodings are held at a time
 
 # Letters in every version of Unicode; others are left with their marks.
 _LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xba\xb5")
@@ -50,8 +53,17 @@ class Encoder:
         self.marks = dict(zip(_MARKS, self._each(list(_MARKS))))
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        """Ids of each text; an encoding takes a hundred times its ids, so few are held at a time."""
+        found, start = [], 0
+        while start < len(texts):
+            stop, chars = start, 0
+            while stop < len(texts) and chars < HELD_CHARS and stop - start < HELD_TEXTS:
+                chars += len(texts[stop])
+                stop += 1
+            encoded = self.tokenizer.encode_batch_fast(texts[start:stop], add_special_tokens=False)
+            found += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+            start = stop
+        return found
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that each begin with a blank and end with a non-blank."""
@@ -63,8 +75,7 @@ class Encoder:
                 texts.append("".join(current))
                 current, length = [], 0
         texts.append("".join(current))
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded])
+        ids = np.frombuffer(b"".join(self._each(texts)), "<u4")
         token_ends = np.cumsum(self.token_bytes[ids])
         piece_ends = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
         ends = np.searchsorted(token_ends, piece_ends) + 1
@@ -95,26 +106,32 @@ class Encoder:
             first.append(parts[0])
             rows.append(parts[1:])
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        words = pa.chunked_array([pa.array(r, pa.string()) for r in rows] or [pa.array([], pa.string())]).combine_chunks()
-        coded = words.dictionary_encode()
+        coded = pa.array([w for r in rows for w in r], pa.string()).dictionary_encode()
+        rows.clear()
         distinct = [" " + w for w in coded.dictionary.to_pylist()]
         # Beyond the distinct pieces: the first piece of each text, and the closing id.
         ids = [*self._pieces(distinct), *self._each(first), np.array([last], "<u4").tobytes()]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
         flat = np.frombuffer(b"".join(ids), "<u4")
-        n = len(texts)
+        n, alone = len(texts), len(distinct)
+        del ids, distinct
         begins = np.cumsum(counts + 2) - (counts + 2)
-        order = np.full(int(counts.sum()) + 2 * n, len(ids) - 1, np.int64)
-        order[begins] = len(distinct) + np.arange(n)
+        order = np.full(int(counts.sum()) + 2 * n, alone + n, np.int32)
+        order[begins] = alone + np.arange(n)
         inner = np.ones(len(order), bool)
         inner[begins] = inner[begins + counts + 1] = False
         order[inner] = coded.indices.to_numpy()
-        lengths = sizes[order]
-        ends = np.cumsum(lengths)
-        place = np.arange(int(ends[-1]) if n else 0) + np.repeat(starts[order] - (ends - lengths), lengths)
+        ends = np.cumsum(sizes[order])
         bounds = np.concatenate([[0], ends[begins + counts + 1]]) if n else np.zeros(1, np.int64)
-        return flat[place], bounds
+        out = np.empty(int(bounds[-1]), "<u4")
+        for a in range(0, len(order), GATHERED):
+            part = order[a : a + GATHERED]
+            lengths, stops = sizes[part], ends[a : a + GATHERED]
+            low = int(stops[0] - lengths[0])
+            place = np.arange(low, int(stops[-1])) + np.repeat(starts[part] - (stops - lengths), lengths)
+            out[low : int(stops[-1])] = flat[place]
+        return out, bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,3 +86,27 @@ def test_words_before_marks_are_encoded_once():
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == ids_of(t)
     assert [k for k in coder.known if k.startswith(" word")] == [" word"]
+
+
+def test_few_encodings_are_held_at_a_time(monkeypatch):
+    """Before, all new pieces of two megabytes of text were encoded by one call, whose results take a hundred times the ids."""
+    from casewright.llm import encoding
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.most = inner, 0
+
+        def encode_batch_fast(self, texts, **kwargs):
+            self.most = max(self.most, sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **kwargs)
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(4_000)) for i in range(20)] + [f"a{i}\n b" for i in range(700)] + [""]
+    plain = encoder(default_tokenizer()).tokenizer
+    expected = [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    coder = Encoder(default_tokenizer())
+    coder.tokenizer = Counting(coder.tokenizer)
+    monkeypatch.setattr(encoding, "GATHERED", 1_000)
+    ids, bounds = coder.encode(texts, 0)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == expected
+    assert coder.tokenizer.most <= encoding.HELD_CHARS + 2 * encoding.JOINED_CHARS
+    assert [b - a for a, b in encoding.slices(pa.array(["x" * 300_000] * 8))] == [3, 3, 2]
