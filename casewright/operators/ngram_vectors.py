@@ -1,10 +1,11 @@
 """Vocabulary and TF-IDF vectors of terms of one and two words, from texts of blank-separated words.
 
 Words are numbered batch by batch, so a term is a number and one sort of numbers counts the terms
-of many rows. The vocabulary is found in two passes: all terms are counted by a 64-bit hash, and
-only those whose hash reaches the count of the last place are spelt out and counted again. The
-count of a hash is no less than that of its terms, so every winner is among them; if terms that
-share a hash made the bound too high, it is lowered. The result is exact.
+of many rows. The vocabulary is found in two passes: all terms are counted in 2^22 buckets by their
+hash, in one array per task, and only those whose bucket reaches the count of the last place are
+spelt out and counted again. The count of a bucket is no less than that of its terms, so every winner
+is among them; if terms that share a bucket made the bound too high, it is lowered. Where too many
+buckets are as full as the last place, terms are counted by a 64-bit hash each. The result is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from casewright.operators.features import BROADCAST_ROWS, VECTOR, doc_term_array
 from casewright.sources.storage import written
 
 SLICE_BYTES = 4 << 20   # text worked on at a time; a longer text is a slice of its own
+BUCKET_BITS = 22        # of a hash that tell a term's bucket
+CHUNK_BITS = 14         # of a bucket's number within the buckets whose sums are merged together
 
 
 def word_text(text: Column) -> Column:
@@ -59,12 +62,21 @@ class _Words:
         coded = words.filter(kept).dictionary_encode()
         return cls(len(texts), row[kept.to_numpy(zero_copy_only=False)], coded.indices.to_numpy().astype(np.int64), coded.dictionary)
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First word, second word (-1: none), count and number of rows of each distinct term."""
-        wide, n = len(self.distinct) + 1, max(self.n, 1)
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, second word (-1: none) and row of every term, as often as it stands there."""
         pair = self.row[:-1] == self.row[1:]
-        two = self.code[:-1][pair] * wide + self.code[1:][pair] + 1
-        met = np.sort(np.concatenate([self.code * wide * n + self.row, two * n + self.row[:-1][pair]]))
+        first = np.concatenate([self.code, self.code[:-1][pair]])
+        second = np.concatenate([np.full(len(self.code), -1), self.code[1:][pair]])
+        return first, second, np.concatenate([self.row, self.row[:-1][pair]])
+
+    def counted(self, buckets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, second word (-1: none), count and number of rows of each distinct term, or of those in ``buckets``."""
+        wide, n = len(self.distinct) + 1, max(self.n, 1)
+        first, second, row = self.places()
+        if buckets is not None:
+            kept = buckets[self.buckets(first, second, len(buckets).bit_length() - 1)]
+            first, second, row = first[kept], second[kept], row[kept]
+        met = np.sort((first * wide + second + 1) * n + row)
         # One entry per term and row, then one per term.
         at = np.flatnonzero(np.diff(met, prepend=-1))
         term = met[at] // n
@@ -81,6 +93,9 @@ class _Words:
             mixed = (own[first] ^ (own[first] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + own[second] * np.uint64(0xBF58476D1CE4E5B9)
         return np.where(second < 0, own[first], mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
+    def buckets(self, first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+        return (self.hashes(first, second).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
     def spelt(self, first: np.ndarray, second: np.ndarray) -> pa.Array:
         one = self.distinct.take(pa.array(first))
         two = self.distinct.take(pa.array(second, mask=second < 0))
@@ -123,12 +138,83 @@ def _added(parts: DataFrame, by: str) -> DataFrame:
     return parts.groupBy(by).agg(F.sum("count").alias("count"), F.sum("df").alias("df"))
 
 
+def _bucket_counter(bits: int, chunk: int):
+    """Terms by bucket: the sums of a task, ``chunk`` bits of buckets together."""
+
+    def sums(total: np.ndarray) -> pa.RecordBatch:
+        parts = total.reshape(-1, 1 << chunk)
+        some = np.flatnonzero(parts.any(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some.tolist()], pa.binary())], ["chunk", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, terms = np.zeros(1 << bits, "<u4"), 0
+        for batch in batches:
+            for a, b in _slices(batch.column(0)):
+                words = _Words.of(batch.column(0).slice(a, b - a))
+                first, second, _ = words.places()
+                if terms + len(first) >= 1 << 32:
+                    yield sums(total)
+                    total[:], terms = 0, 0
+                terms += len(first)
+                np.add(total, np.bincount(words.buckets(first, second, bits), minlength=1 << bits), out=total, casting="unsafe")
+        yield sums(total)
+
+    return count
+
+
+def _bucket_terms(wanted: np.ndarray, bits: int):
+    """``(term, count, df)`` of the terms in the buckets ``wanted``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(1 << bits, bool)
+        kept[wanted] = True
+        for batch in batches:
+            for a, b in _slices(batch.column(0)):
+                words = _Words.of(batch.column(0).slice(a, b - a))
+                first, second, counts, df = words.counted(kept)
+                yield pa.RecordBatch.from_arrays([words.spelt(first, second), pa.array(counts), pa.array(df)], ["term", "count", "df"])
+
+    return count
+
+
+def _by_buckets(texts: DataFrame, min_df: int, max_features: int, known: int, bits: int) -> DataFrame | None:
+    """The candidates, or nothing if more than ``known`` buckets are as full as the last place."""
+    chunk = min(CHUNK_BITS, bits)
+
+    def added(parts: pa.Table) -> pa.Table:
+        total = np.zeros(1 << chunk, np.int64)
+        for counts in parts["counts"]:
+            total += np.frombuffer(counts.as_py(), "<u4")
+        at = np.flatnonzero(total >= max(min_df, 1))
+        return pa.table({"bucket": pa.array((parts["chunk"][0].as_py() << chunk) + at), "count": pa.array(total[at])})
+
+    parts = texts.mapInArrow(_bucket_counter(bits, chunk), "chunk bigint, counts binary")
+    totals = written(parts.groupBy("chunk").applyInArrow(added, "bucket bigint, count bigint"), "term-buckets")
+    # Other terms in the buckets raise the bound, so it is first that of twice as many places.
+    places = 2 * max_features
+    while True:
+        last = totals.orderBy(F.desc("count")).limit(places).agg(F.min("count").alias("least"), F.count("*").alias("n")).first()
+        least = last["least"] if last["n"] == places else 0
+        found = totals.filter(F.col("count") >= least).select("bucket").limit(known + 1).toArrow()["bucket"].to_numpy()
+        if len(found) > known:
+            return None
+        terms = written(_added(texts.mapInArrow(_bucket_terms(found, bits), "term string, count bigint, df bigint"), "term"), "terms")
+        if not least or terms.filter((F.col("df") >= min_df) & (F.col("count") >= least)).count() >= max_features:
+            return terms
+        places *= 2
+
+
 def term_candidates(texts: DataFrame, min_df: int, max_features: int, words: str = "words", known: int = BROADCAST_ROWS, bits: int = 64) -> DataFrame:
     """``(term, count, df)`` with exact counts: all terms that can be among the ``max_features`` of the vocabulary; written.
 
-    Up to ``known`` hashes are sent to every task; if more share the last place, all terms are spelt out.
+    Up to ``known`` buckets or hashes are sent to every task; if more share the last place, all terms are spelt out.
     """
     texts = texts.select(words)
+    terms = _by_buckets(texts, min_df, max_features, known, min(bits, BUCKET_BITS)) if max_features else None
+    return terms if terms is not None else _by_hashes(texts, min_df, max_features, words, known, bits)
+
+
+def _by_hashes(texts: DataFrame, min_df: int, max_features: int, words: str, known: int, bits: int) -> DataFrame:
     counted = _added(texts.mapInArrow(_counter(None, bits), "h bigint, count bigint, df bigint"), "h")
     hashed = written(counted.filter(F.col("df") >= min_df), "term-hashes")
     places = max_features

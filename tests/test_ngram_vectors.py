@@ -101,3 +101,26 @@ def test_cleaning_equals_plain_patterns(spark):
     blanks = F.regexp_replace(F.regexp_replace(stripped, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " ")
     plain = tx.mask_outcomes(F.regexp_replace(blanks, rf"(?U)\A{space}+|(?<!{space}){space}+\z", ""))
     assert docs.filter(~tx.clean_text(F.col("text")).eqNullSafe(plain)).count() == 0
+
+
+def test_tasks_send_arrays_and_no_row_per_term(spark, monkeypatch):
+    """Before, the first pass sent a row for every term of four megabytes of text."""
+    texts = pa.RecordBatch.from_pydict({"words": [f"aa{i} bb{i} aa{i}" for i in range(3_000)]})
+    monkeypatch.setattr(nv, "SLICE_BYTES", 1_000)
+    rows = [r for part in nv._bucket_counter(10, 6)(iter([texts])) for r in part.to_pylist()]
+    assert len(rows) == 16
+    assert sum(sum(memoryview(r["counts"]).cast("I")) for r in rows) == 5 * 3_000
+    # The counts by hash are for buckets that are too evenly filled.
+    monkeypatch.setattr(nv, "_by_hashes", None)
+    found = nv.term_candidates(corpus(spark).select(nv.word_text(F.col("text")).alias("words")), 3, 50)
+    assert features.vocab_top_k(found, 3, 50).count() == 50
+
+
+@pytest.mark.parametrize("bits", [3, 7])
+def test_full_buckets_lower_the_bound(spark, monkeypatch, bits):
+    monkeypatch.setattr(nv, "BUCKET_BITS", bits)
+    texts = corpus(spark).select(nv.word_text(F.col("text")).alias("words"))
+    counts = spelt_out(corpus(spark)).select(F.inline("entries")).groupBy("term").agg(F.sum("tf").alias("count"), F.count("*").alias("df"))
+    top = lambda c: features.vocab_top_k(c, 3, 40).select("term", "count", "df").collect()
+    for known in (4, 10_000):
+        assert top(nv.term_candidates(texts, 3, 40, known=known)) == top(counts)
