@@ -38,15 +38,18 @@ HEADER_PATTERNS = [
 # --- End of fixed values. ---
 
 # Letters without a blank that every match of these patterns holds, whatever their case.
-_HELD = {HEADER_PATTERNS[i]: held for i, held in ((1, "educational"), (2, "reuters"), (4, "westlaw"), (9, "attorneys"))}
+_HELD = {HEADER_PATTERNS[i]: held for i, held in ((1, "educational"), (2, "reuters"), (4, "westlaw"), (6, "case"), (9, "attorneys"))}
+# Of other patterns every match holds one of these as it stands.
+_HELD_AS_IS = {HEADER_PATTERNS[i]: held for i, held in ((0, ["/"]), (3, ["WL"]), (5, ["F.", "S.Ct.", "U.S.", "L.Ed."]), (7, ["|"]), (8, ["Signed"]))}
 
 _MASK = OUTCOME_MASK
 _TERMS = "|".join(OUTCOME_TERMS)
 # Written from the blank between trigger and term: few characters are blanks,
 # so the alternatives are tried rarely. No outcome term ends in the beginning
 # of a trigger, hence no earlier match can take part of a later trigger away.
-# A trigger ends in a letter, so a run of blanks is entered at its first one only.
-_CONTEXT = rf"(?iU)(?<!\s)(?=\s+(?:{_TERMS}))(?<={'|'.join(OUTCOME_TRIGGERS)})(\s+)(?:{_TERMS})"
+# A trigger ends in a letter, so a run of blanks is entered at its first one only; the look
+# at one character before that spares the others the look back.
+_CONTEXT = rf"(?iU)(?=\s)(?<!\s)(?=\s+(?:{_TERMS}))(?<={'|'.join(OUTCOME_TRIGGERS)})(\s+)(?:{_TERMS})"
 _INITIALS = "".join(sorted({t[0].upper() for t in OUTCOME_TERMS}))
 _CAPS = rf"(?U)(?=[{_INITIALS}])\b(?:{_TERMS.upper()})\b"
 
@@ -70,22 +73,26 @@ def strip_header_lines(text: Column) -> Column:
     there they are looked for, once for all patterns.
     """
     folded = fold_case(text)
-    one = lambda p: _where(folded.contains(_HELD[p]), p) if p in _HELD else F.lit(p)
-    return reduce(lambda t, p: F.regexp_replace(t, one(p), F.lit(" ")), HEADER_PATTERNS, text)
+    held = lambda p: folded.contains(_HELD[p]) if p in _HELD else reduce(or_, [text.contains(h) for h in _HELD_AS_IS[p]])
+    return reduce(lambda t, p: F.regexp_replace(t, _where(held(p), p), F.lit(" ")), HEADER_PATTERNS, text)
 
 
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
-def collapse_whitespace(text: Column) -> Column:
-    """At most one blank line, single blanks, no outer white space."""
-    lines = F.regexp_replace(text, r"\n{3,}", "\n\n")
+def collapse_whitespace(text: Column, before: Column | None = None) -> Column:
+    """At most one blank line, single blanks, no outer white space.
+
+    ``before`` is the text as it was, if every three line ends that stand together did so there.
+    """
+    empty = (text if before is None else before).contains("\n\n\n")
+    lines = F.regexp_replace(text, _where(empty, r"\n{3,}"), F.lit("\n\n"))
     return trim_space(F.regexp_replace(lines, r"[ \t]{2,}", " "))
 
 
 def strip_headers(text: Column) -> Column:
-    return collapse_whitespace(strip_header_lines(text))
+    return collapse_whitespace(strip_header_lines(text), text)
 
 
 def mask_outcome_context(text: Column) -> Column:
@@ -109,8 +116,9 @@ def mask_outcomes(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     # Outcome terms are letters that stand together, which stripping headers does not make.
-    context = F.regexp_replace(strip_headers(text), _where(_outcome_named(text), _CONTEXT), F.lit(f"$1{_MASK}"))
-    return mask_outcome_caps(context)
+    named = _outcome_named(text)
+    context = F.regexp_replace(strip_headers(text), _where(named, _CONTEXT), F.lit(f"$1{_MASK}"))
+    return F.regexp_replace(context, _where(named, _CAPS), F.lit(_MASK))
 
 
 def tokens(text: Column) -> Column:

@@ -124,3 +124,23 @@ def test_full_buckets_lower_the_bound(spark, monkeypatch, bits):
     top = lambda c: features.vocab_top_k(c, 3, 40).select("term", "count", "df").collect()
     for known in (4, 10_000):
         assert top(nv.term_candidates(texts, 3, 40, known=known)) == top(counts)
+
+
+def test_header_patterns_run_only_where_they_can_match(spark):
+    """Before, six of the ten ran over every text."""
+    assert {*tx._HELD, *tx._HELD_AS_IS} == {*tx.HEADER_PATTERNS}
+    rng = random.Random(6)
+    parts = [
+        "J. Doe 1/2/2020", "\n", "2019 WL 33", "12 F.3d 4", "5 S.Ct. 6", "7 U.S. 8", "9 L.Ed.2d 1", "3 F.Supp.2 44", "2 U.S. Dist. LEXIS 7", "| ",
+        "|", "Signed 01/02/2020", "caſe No. a:b-1", "CASE NO 7", "For Educational Use Only", "F", ".", "W", "L 4", "Sig", "ned", " ", "\t", "\n\n",
+        "is", "GRANTED", " granted", " vacated", "order", "x",
+    ]
+    rows = [("".join(rng.choices(parts, k=rng.randrange(14))),) for _ in range(3_000)]
+    docs = spark.createDataFrame([*rows, (None,)], "text string")
+    stripped = reduce(lambda t, p: F.regexp_replace(t, p, " "), tx.HEADER_PATTERNS, F.col("text"))
+    blanks = tx.trim_space(F.regexp_replace(F.regexp_replace(stripped, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+    context = tx._CONTEXT.replace(r"(?=\s)(?<!\s)", r"(?<!\s)")
+    masked = F.regexp_replace(F.regexp_replace(blanks, context, "$1[OUTCOME]"), tx._CAPS, "[OUTCOME]")
+    assert docs.filter(~tx.strip_headers(F.col("text")).eqNullSafe(blanks)).count() == 0
+    assert docs.filter(~tx.clean_text(F.col("text")).eqNullSafe(masked)).count() == 0
+    assert docs.filter(masked.contains("[OUTCOME]")).count() > 20 and docs.filter(blanks != tx.collapse_whitespace(F.col("text"))).count() > 200
