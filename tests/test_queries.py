@@ -35,3 +35,14 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert got == sorted((tuple(r[i] for i in order) for r in cursor.fetchall()), key=repr)
+
+
+def test_top_ngrams_cleans_texts_once(spark, monkeypatch):
+    """The tokens are read for the hashes and again for the winners; both read a table, not the texts."""
+    from casewright.operators import features
+    from casewright.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(features, "ngram_tables", lambda docs: seen.append(docs) or docs)
+    catalog.top_ngrams(spark, "/root/testdata/sf0.001")
+    assert not any("documents.parquet" in f for f in seen[0].inputFiles())
